@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell import constants as K
 from tidewell.functions import ordered
+from tidewell.functions.rows import explode_rows
 from tidewell.functions.text import strip, word_count, words
 
 BLANK_LINE = "\n\n"
@@ -222,9 +223,8 @@ def _explode_chunks(staged: DataFrame, step: Column) -> DataFrame:
         ).withColumn("_first", F.col("_upto") - F.col("_step"))
     else:
         numbered = staged.withColumn("_first", F.lit(0))
-    return numbered.select(
-        *keep, "_first", F.posexplode("_pieces").alias("_pos", "_piece")
-    ).select(
+    rows = explode_rows(numbered, [*keep, "_first"], F.col("_pieces"), "_piece", "_pos")
+    return rows.select(
         *keep,
         (F.col("_first") + F.col("_pos")).cast("int").alias("chunk_index"),
         F.col("_piece.content").alias("content"),

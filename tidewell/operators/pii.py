@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell import constants as K
+from tidewell.functions.rows import explode_rows
 from tidewell.functions.text import rewrite_matches
 
 LABELS = tuple(K.PII_PATTERNS)
@@ -80,7 +81,7 @@ def pii_report(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
         ]
     )
     return (
-        counted.select(*keys, F.explode(pairs).alias("e"))
+        explode_rows(counted, keys, pairs, "e")
         .groupBy(*keys, F.col("e.label").alias("label"))
         .agg(
             F.sum(F.col("e.n").cast("long")).alias("entities"),

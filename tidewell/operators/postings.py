@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell import constants as K
 from tidewell.functions import ordered
+from tidewell.functions.rows import explode_rows
 from tidewell.functions.text import terms
 
 K1 = 1.2
@@ -26,8 +27,12 @@ def build_postings(
 ) -> DataFrame:
     """chunk_id, keep..., term, tf, n_terms. Counts are combined before the shuffle."""
     return (
-        chunks.select("chunk_id", *keep, terms(F.col(text)).alias("_terms"))
-        .select("chunk_id", *keep, F.explode("_terms").alias("term"), F.size("_terms").alias("_n"))
+        explode_rows(
+            chunks.select("chunk_id", *keep, terms(F.col(text)).alias("_terms")),
+            ["chunk_id", *keep, F.size("_terms").alias("_n")],
+            F.col("_terms"),
+            "term",
+        )
         .where(~F.col("term").isin(*stop_words) if stop_words else F.lit(True))
         .groupBy("chunk_id", *keep, "term")
         .agg(F.count("*").cast("int").alias("tf"), F.first("_n").alias("n_terms"))
@@ -36,13 +41,10 @@ def build_postings(
 
 def query_terms(queries: DataFrame, stop_words: list[str] = K.STOP_WORDS) -> DataFrame:
     """query_id, pipeline_id, term, n_q: distinct terms; none for a stop-word-only query."""
-    return (
-        queries.select(
-            "query_id", "pipeline_id", F.array_distinct(lexemes(F.col("q"), stop_words)).alias("_t")
-        )
-        .withColumn("n_q", F.size("_t"))
-        .select("query_id", "pipeline_id", F.explode("_t").alias("term"), "n_q")
-    )
+    found = F.array_distinct(lexemes(F.col("q"), stop_words))
+    listed = queries.select("query_id", "pipeline_id", found.alias("_t"))
+    keep = ["query_id", "pipeline_id", F.size("_t").alias("n_q")]
+    return explode_rows(listed, keep, F.col("_t"), "term").drop("pos")
 
 
 def keyword_topk(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.rows import explode_rows
+
 from tidewell.session import materialise
 from tidewell.sources.html import html_links
 
@@ -18,14 +20,13 @@ def crawl_frontier(
     `max_depth`. Each level joins the frontier with the links and drops what was
     visited; levels are written out so the plan does not grow with depth.
     """
-    links = materialise(
-        pages.select(F.col(url).alias("_from"), F.explode(html_links(url, html)).alias("url")).distinct()
-    )
+    found = explode_rows(pages, [F.col(url).alias("_from")], html_links(url, html), "_to")
+    links = materialise(found.drop("pos").distinct())
     known = pages.select(F.col(url).alias("url")).distinct().withColumn("fetched", F.lit(True))
     level = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     visited = level
     for depth in range(1, max_depth + 1):
-        found = level.join(links, level["url"] == links["_from"]).select(links["url"]).distinct()
+        found = level.join(links, level["url"] == links["_from"]).select(F.col("_to").alias("url")).distinct()
         level = materialise(
             found.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth))
         )

@@ -9,6 +9,9 @@ from urllib.parse import urljoin, urlparse
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewell.functions.rows import explode_rows
 
 
 # Elements dropped, elements read, elements that never hold content
@@ -21,6 +24,11 @@ _VOID = {
 }
 
 
+_BLOCKS = T.ArrayType(
+    T.StructType([T.StructField("type", T.StringType()), T.StructField("content", T.StringType())])
+)
+
+
 class _Node:
     __slots__ = ("attrs", "children", "name")
 
@@ -171,12 +179,12 @@ def _parse_all(html: str) -> Iterator[_Node]:
             todo.extend(reversed(node.children))
 
 
-@F.pandas_udf("array<struct<type:string,content:string>>")
+@F.pandas_udf(_BLOCKS)
 def html_blocks(html: pd.Series) -> pd.Series:
     return html.map(page_blocks)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def html_links(url: pd.Series, html: pd.Series) -> pd.Series:
     return pd.Series([page_links(u, h) for u, h in zip(url, html, strict=True)])
 
@@ -184,7 +192,7 @@ def html_links(url: pd.Series, html: pd.Series) -> pd.Series:
 def html_to_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per block: block_no, type, content, page_number."""
     keep = [c for c in pages.columns if c != html]
-    return pages.select(*keep, F.posexplode(html_blocks(html)).alias("block_no", "_b")).select(
+    return explode_rows(pages, keep, html_blocks(html), "_b", "block_no").select(
         *keep,
         "block_no",
         F.col("_b.type").alias("type"),

@@ -8,9 +8,11 @@ import io
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell import constants as K
 from tidewell.functions import ordered
+from tidewell.functions.rows import explode_rows
 from tidewell.functions.text import strip
 
 
@@ -22,7 +24,7 @@ def _rule(n: Column) -> Column:
     return _line(F.array_repeat(F.lit("---"), n))
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _csv_rows(texts: pd.Series) -> pd.Series:
     """Cells of each file; null when the file cannot be read as CSV."""
 
@@ -64,11 +66,9 @@ def csv_tables(files: DataFrame, text: str, n: int = K.ROWS_PER_TABLE) -> DataFr
 
 def csv_to_blocks(files: DataFrame, text: str, n: int = K.ROWS_PER_TABLE) -> DataFrame:
     """One row per table block: block_no, type, content, page_number."""
-    return (
-        csv_tables(files, text, n)
-        .select(*[c for c in files.columns if c != text], F.posexplode("tables").alias("block_no", "content"))
-        .withColumns({"type": F.lit("table"), "page_number": F.lit(1)})
-    )
+    keep = [c for c in files.columns if c != text]
+    rows = explode_rows(csv_tables(files, text, n), keep, F.col("tables"), "content", "block_no")
+    return rows.withColumns({"type": F.lit("table"), "page_number": F.lit(1)})
 
 
 def rows_to_markdown(

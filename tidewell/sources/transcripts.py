@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell import constants as K
+from tidewell.functions.rows import explode_rows
 from tidewell.functions.text import strip, word_count
 
 SEGMENTS = "array<struct<text:string,start:double,duration:double>>"
@@ -113,7 +114,5 @@ def transcript_blocks(segments: Column, video_id: Column) -> Column:
 
 def transcript_to_blocks(df: DataFrame, segments: str, video_id: str) -> DataFrame:
     keep = [c for c in df.columns if c != segments]
-    return df.select(
-        *keep,
-        F.posexplode(transcript_blocks(F.col(segments), F.col(video_id))).alias("block_no", "_b"),
-    ).select(*keep, "block_no", "_b.*")
+    blocks = transcript_blocks(F.col(segments), F.col(video_id))
+    return explode_rows(df, keep, blocks, "_b", "block_no").select(*keep, "block_no", "_b.*")
