@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell import constants as K
 from tidewell.functions.text import terms
+from tidewell.session import materialise
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -61,12 +62,13 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     longest = F.transform(F.slice(ranked, 1, 2), lambda s: s["t"])
-    return chunks(spark, sf).select(
+    asked = chunks(spark, sf).select(
         F.col("chunk_id").alias("query_id"),
         "pipeline_id",
         F.array_join(longest, " ").alias("q"),
         F.col("embedding").alias("q_embedding"),
     )
+    return materialise(asked)
 
 
 # Rankings: the parts of an order by line number; expected are the returned ones.

@@ -61,12 +61,12 @@ def adversarial_rate(spark, sf):
 SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY 1""",
 )
 def median_latency(spark, sf):
-    return ordered.upper_median(fx.table(spark, sf, "events"), "value", ["event_type"], "median")
+    return ordered.upper_median(fx.table(spark, sf, "events"), "value", ["event_type"], "median", width=5.0)
 
 
 @query("median_latency_overall", "SELECT list_sort(list(value))[count(*) // 2 + 1] AS median FROM events")
 def median_latency_overall(spark, sf):
-    return ordered.upper_median(fx.table(spark, sf, "events"), "value", [], "median")
+    return ordered.upper_median(fx.table(spark, sf, "events"), "value", [], "median", width=5.0)
 
 
 @query(

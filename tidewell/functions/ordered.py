@@ -64,43 +64,31 @@ def newest(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str
     )
 
 
-def upper_median(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
-    """sorted[n // 2] per key, found by narrowing value ranges instead of sorting a group.
+def upper_median(
+    df: DataFrame, value: str, keys: list[str], out: str, width: float = 100.0
+) -> DataFrame:
+    """sorted[n // 2] per key, found in value ranges instead of a sorted group.
 
-    Equal values are counted first. Two rounds of 1,024 equal-width ranges per key pick
-    the range that holds the wanted rank; only its distinct values are ordered.
+    Equal values are counted first, map-side. Counts per range of `width` then show which
+    range holds the wanted rank, and only that range's distinct values are ordered.
     """
-    keyed = df if keys else df.withColumn("_all", F.lit(0))
-    by = keys or ["_all"]
-    counts = keyed.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    target = counts.groupBy(*by).agg(F.floor(F.sum("_n") / 2).alias("_skip"))
-    rest = counts.join(_small(target, keys), by)
-    for _ in range(2):
-        rest = _narrow(rest, value, by, keys)
-    upto = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = rest.withColumn("_upto", F.sum("_n").over(upto)).where(F.col("_upto") > F.col("_skip"))
-    return ranked.groupBy(*keys).agg(F.min(value).alias(out))
-
-
-def _small(totals: DataFrame, keys: list[str]) -> DataFrame:
-    """Without keys the totals are at most 1,024 rows, so a broadcast is bounded."""
-    return totals if keys else F.broadcast(totals)
-
-
-def _narrow(rest: DataFrame, value: str, by: list[str], keys: list[str]) -> DataFrame:
-    span = rest.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * 1023)).otherwise(0)
-    placed = rest.join(_small(span, keys), by).withColumn("_cell", cell)
-    totals = placed.groupBy(*by, "_cell", "_skip").agg(F.sum("_n").alias("_t"))
-    before = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+    cell = F.floor(F.col(value) / width).alias("_cell")
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value, cell).agg(F.count("*").alias("_n"))
+    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_t"))
+    by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    so_far = by_key.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+    middle = F.floor(F.sum("_t").over(by_key) / 2)
     chosen = (
-        totals.withColumn("_upto", F.sum("_t").over(before))
-        .where((F.col("_upto") > F.col("_skip")) & (F.col("_upto") - F.col("_t") <= F.col("_skip")))
-        .select(*by, "_cell", (F.col("_skip") - F.col("_upto") + F.col("_t")).alias("_left"))
+        cells.withColumns({"_upto": F.sum("_t").over(so_far), "_mid": middle})
+        .where((F.col("_upto") > F.col("_mid")) & (F.col("_upto") - F.col("_t") <= F.col("_mid")))
+        .select(*keys, "_cell", (F.col("_mid") - F.col("_upto") + F.col("_t")).alias("_skip"))
     )
+    inside = W.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     return (
-        placed.join(_small(chosen, keys), [*by, "_cell"])
-        .withColumn("_skip", F.col("_left"))
-        .drop("_cell", "_left", "_lo", "_hi")
+        counts.join(chosen, [*keys, "_cell"])
+        .withColumn("_upto", F.sum("_n").over(inside))
+        .where(F.col("_upto") > F.col("_skip"))
+        .groupBy(*keys)
+        .agg(F.min(value).alias(out))
     )

@@ -1,7 +1,9 @@
-"""Arrays to rows."""
+"""Arrays to rows, and values bound once inside an expression."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,8 @@ def explode_rows(
     """
     rows = df.select(*keep, F.posexplode_outer(array).alias(pos, value))
     return rows.where(F.col(pos).isNotNull())
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)

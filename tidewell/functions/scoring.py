@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewell import constants as K
+from tidewell.functions.rows import let
 
 
 def latency_penalty(median_ms: Column) -> Column:
@@ -69,16 +70,18 @@ def config_diff(variant: Column, baseline: Column) -> Column:
 
 
 def approval_tier(variant: Column, baseline: Column, mode: Column) -> Column:
-    changed = config_diff(variant, baseline)
-    return (
-        F.when(mode == "auto", "auto")
-        .when(mode == "mandatory_gate", "mandatory_gate")
-        .when(F.arrays_overlap(changed, F.array(*map(F.lit, K.HIGH_RISK_KEYS))), "mandatory_gate")
-        .when(F.arrays_overlap(changed, F.array(*map(F.lit, K.MEDIUM_RISK_KEYS))), "human_in_loop")
-        .when(
-            (F.size(changed) > 0) & F.forall(changed, lambda k: k.isin(*K.LOW_RISK_KEYS)), "auto"
+
+    def by_changes(changed: Column) -> Column:
+        low = (F.size(changed) > 0) & F.forall(changed, lambda k: k.isin(*K.LOW_RISK_KEYS))
+        return (
+            F.when(F.arrays_overlap(changed, F.array(*map(F.lit, K.HIGH_RISK_KEYS))), "mandatory_gate")
+            .when(F.arrays_overlap(changed, F.array(*map(F.lit, K.MEDIUM_RISK_KEYS))), "human_in_loop")
+            .when(low, "auto")
+            .otherwise("human_in_loop")
         )
-        .otherwise("human_in_loop")
+
+    return F.when(mode.isin("auto", "mandatory_gate"), mode).otherwise(
+        let(config_diff(variant, baseline), by_changes)
     )
 
 
@@ -104,9 +107,11 @@ def propose_variant(config: Column, diagnosis: Column) -> Column:
         hint_set(K.HINT_FAITHFULNESS, flag("grounding_strict")),
         hint_set(K.HINT_REFUSAL, flag("refusal_instruction")),
     )
-    variant = overlay(config, changes)
-    return F.when(F.size(config_diff(variant, config)) > 0, variant).otherwise(
-        overlay(config, top_k_plus(2))
+    return let(
+        let(changes, lambda made: overlay(config, made)),
+        lambda variant: F.when(F.size(config_diff(variant, config)) > 0, variant).otherwise(
+            overlay(config, top_k_plus(2))
+        ),
     )
 
 

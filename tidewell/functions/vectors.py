@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewell import constants as K
+from tidewell.functions.rows import let
 
 
 def _sum(arr: Column) -> Column:
@@ -28,9 +29,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    # The one-element array binds the norm once instead of once per entry.
-    scale = F.array(F.when(norm(v) > 0, norm(v)).otherwise(1.0))
-    return F.get(F.transform(scale, lambda n: F.transform(v, lambda x: x.cast("double") / n)), 0)
+    return let(
+        norm(v),
+        lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0)),
+    )
 
 
 def fit_dim(v: Column, dim: int) -> Column:

@@ -3,60 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import ordered, scoring
 from tidewell.functions.text import is_refusal
 
 
-def _hits(rankings: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    marked = expected.select(*keys, "chunk_id").distinct().withColumn("_e", F.lit(1))
-    return rankings.join(marked, [*keys, "chunk_id"], "left").withColumn(
-        "hit", F.coalesce("_e", F.lit(0))
-    ).drop("_e")
+def retrieval_scores(rankings: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_ranked, n_expected, hits, recall, precision for every ranked query.
 
-
-def _expected_sizes(expected: DataFrame, keys: list[str]) -> DataFrame:
-    return (
-        expected.select(*keys, "chunk_id").distinct().groupBy(*keys).agg(F.count("*").alias("n_expected"))
+    rankings: keys, chunk_id, rank (1-based). Recall is hits / max(expected, 1). Precision
+    is average precision: hits so far / rank summed over the hits, divided by the number
+    expected, at most 1, and 0 without expectations. Hit ranks are gathered per bucket of
+    ranks only and carry on from the counts of earlier buckets, so one long ranking
+    spreads over tasks.
+    """
+    seen = rankings.select(*keys, "chunk_id", "rank", F.lit(0).alias("_e")).unionByName(
+        expected.select(*keys, "chunk_id", F.lit(None).cast("long").alias("rank"), F.lit(1).alias("_e"))
     )
-
-
-def context_recall(rankings: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, recall: expected chunks retrieved / max(expected, 1) for every ranked query."""
-    found = (
-        _hits(rankings, expected, keys)
-        .groupBy(*keys)
-        .agg(F.count_distinct(F.when(F.col("hit") == 1, F.col("chunk_id"))).alias("hits"))
+    chunks = seen.groupBy(*keys, "chunk_id").agg(F.min("rank").alias("rank"), F.max("_e").alias("_e"))
+    bucket = F.coalesce(F.floor(F.col("rank") / ordered.BUCKET_ROWS), F.lit(-1))
+    hit = (F.col("_e") == 1) & F.col("rank").isNotNull()
+    parts = chunks.groupBy(*keys, bucket.alias("_bucket")).agg(
+        F.count("rank").alias("_ranked"),
+        F.sum("_e").alias("_expected"),
+        F.array_sort(F.collect_list(F.when(hit, F.col("rank")))).alias("_ranks"),
     )
-    return found.join(_expected_sizes(expected, keys), keys, "left").select(
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = parts.withColumn("_before", F.coalesce(F.sum(F.size("_ranks")).over(before), F.lit(0)))
+    shares = F.transform("_ranks", lambda r, i: (F.col("_before") + i + 1) / r)
+    summed = F.aggregate(shares, F.lit(0.0), lambda acc, x: acc + x)
+    totals = carried.groupBy(*keys).agg(
+        F.sum("_ranked").alias("n_ranked"),
+        F.sum("_expected").alias("n_expected"),
+        F.sum(F.size("_ranks")).alias("hits"),
+        F.sum(summed).alias("_ap"),
+    )
+    size = F.greatest("n_expected", F.lit(1))
+    return totals.where(F.col("n_ranked") > 0).select(
         *keys,
-        (F.col("hits") / F.greatest(F.coalesce("n_expected", F.lit(0)), F.lit(1))).alias("recall"),
+        "n_ranked",
+        "n_expected",
+        "hits",
+        (F.col("hits") / size).alias("recall"),
+        F.least(F.col("_ap") / size, F.lit(1.0)).alias("precision"),
     )
 
 
-def context_precision(rankings: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, precision: average precision over the ranking, at most 1, 0 without expectations.
+def context_recall(rankings: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    return retrieval_scores(rankings, expected, keys).select(*keys, "recall")
 
-    rankings: keys, chunk_id, rank (1-based). Running hit counts are taken over the hits
-    alone and per rank bucket, so one long ranking spreads over tasks.
-    """
-    hits = _hits(rankings, expected, keys)
-    counted = ordered.row_number(
-        hits.where(F.col("hit") == 1),
-        keys,
-        ["rank"],
-        F.floor(F.col("rank") / ordered.BUCKET_ROWS),
-        "_so_far",
-    )
-    total = counted.groupBy(*keys).agg(F.sum(F.col("_so_far") / F.col("rank")).alias("_ap"))
-    every = rankings.select(*keys).distinct()
-    ap = F.col("_ap") / F.greatest("n_expected", F.lit(1))
-    return (
-        every.join(total, keys, "left")
-        .join(_expected_sizes(expected, keys), keys, "left")
-        .select(*keys, F.least(F.coalesce(ap, F.lit(0.0)), F.lit(1.0)).alias("precision"))
-    )
+
+def context_precision(rankings: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    return retrieval_scores(rankings, expected, keys).select(*keys, "precision")
 
 
 def adversarial_rate(answers: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,10 +76,6 @@ def adversarial_rate(answers: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def mean_or_zero(value: Column) -> Column:
-    return F.coalesce(F.avg(value), F.lit(0.0))
-
-
 def judge_notes(reasonings: DataFrame, keys: list[str], order: str, n: int = 3) -> DataFrame:
     """keys, judge_reasoning: the first `n` notes joined by `; `."""
     first = ordered.newest(reasonings, keys, [F.col(order)], n)
@@ -98,26 +94,35 @@ def evaluate_runs(
     """
     by_query = ["run_id", "query_id"]
     asked = answers.join(golden.select(*by_query, "question_type"), by_query)
-    synthetic = asked.where(F.col("question_type") == "synthetic")
-    scored = (
-        synthetic.join(context_recall(rankings, expected, by_query), by_query, "left")
-        .join(context_precision(rankings, expected, by_query), by_query, "left")
-        .groupBy("run_id")
-        .agg(
-            F.avg(F.coalesce("recall", F.lit(0.0))).alias("context_recall"),
-            F.avg(F.coalesce("precision", F.lit(0.0))).alias("context_precision"),
-            F.avg("faithfulness").alias("faithfulness"),
-            F.avg("relevancy").alias("relevancy"),
-        )
+    retrieved = retrieval_scores(rankings, expected, by_query).select(*by_query, "recall", "precision")
+    synthetic = F.col("question_type") == "synthetic"
+    adversarial = F.col("question_type") == "adversarial_fixed"
+    refused = adversarial & F.coalesce(is_refusal(F.col("answer")), F.lit(False))
+
+    def mean(value) -> Column:
+        return F.coalesce(F.avg(F.when(synthetic, value)), F.lit(0.0))
+
+    scored = asked.join(retrieved, by_query, "left").groupBy("run_id").agg(
+        mean(F.coalesce("recall", F.lit(0.0))).alias("context_recall"),
+        mean(F.coalesce("precision", F.lit(0.0))).alias("context_precision"),
+        mean(F.col("faithfulness")).alias("faithfulness"),
+        mean(F.col("relevancy")).alias("relevancy"),
+        F.sum(adversarial.cast("long")).alias("n"),
+        F.sum(refused.cast("long")).alias("passes"),
     )
-    latency = ordered.upper_median(synthetic, "latency_ms", ["run_id"], "median_ms")
-    refusals = adversarial_rate(asked, ["run_id"])
-    notes = judge_notes(synthetic, ["run_id"], "query_id")
+    answered = asked.where(synthetic)
+    latency = ordered.upper_median(answered, "latency_ms", ["run_id"], "median_ms", width=1000.0)
+    notes = judge_notes(answered, ["run_id"], "query_id")
     base = runs.select("run_id")
-    for part in (scored, latency, refusals, notes):
+    for part in (scored, latency, notes):
         base = base.join(part, "run_id", "left")
-    zero = ["context_recall", "context_precision", "faithfulness", "relevancy", "median_ms", "n", "pass_rate", "fails"]
-    filled = base.fillna(0, subset=zero).fillna("", subset=["judge_reasoning"])
+    zero = ["context_recall", "context_precision", "faithfulness", "relevancy", "median_ms", "n", "passes"]
+    filled = base.fillna(0, subset=zero).fillna("", subset=["judge_reasoning"]).withColumns(
+        {
+            "pass_rate": F.col("passes") / F.greatest("n", F.lit(1)),
+            "fails": F.col("n") - F.col("passes"),
+        }
+    )
     return decide(filled)
 
 

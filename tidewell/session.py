@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +23,17 @@ def get_spark(app: str = "tidewell", master: str | None = None, conf: dict | Non
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings results depend on, for a session made elsewhere.
+
+    Spark 4.1 lets a union claim its inputs' partitioning; under adaptive execution the
+    claim can be wrong and a join above fails on unequal partition counts.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -40,6 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder and read it from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once as a table in the shared checkpoint folder and read it from there.
+
+    The table cuts the lineage and outlives lost executors; read back as Parquet it also
+    has true sizes for join planning and is pruned by column.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
