@@ -286,6 +286,6 @@ def streamed_due(spark, sf):
 
     ticks = spark.readStream.schema(events.schema).parquet(f"{base}/in")
     streams.connector_due_stream(
-        ticks, connectors, f"{base}/out", f"{base}/ckpt", now=F.lit("2024-01-31 00:00:00"), every=None
+        ticks, connectors, f"{base}/out", f"{base}/ckpt", now=F.to_timestamp(F.lit("2024-01-31T00:00:00Z")), every=None
     ).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("connector_id").distinct()

@@ -60,7 +60,7 @@ def due_connectors(spark, sf):
         F.when(user % 5 == 0, "error").otherwise("active").alias("status"),
         F.when(user % 3 != 0, 60 * (user % 500)).alias("sync_interval_minutes"),
     )
-    return filters.due_connectors(connectors, F.lit("2024-01-31 00:00:00")).select("connector_id")
+    return filters.due_connectors(connectors, F.to_timestamp(F.lit("2024-01-31T00:00:00Z"))).select("connector_id")
 
 
 @query(

@@ -65,20 +65,27 @@ def retryable(docs: DataFrame) -> DataFrame:
 def due_connectors(connectors: DataFrame, now: Column) -> DataFrame:
     """Active connectors never synced, or last synced at least their interval ago.
 
-    last_synced_at may be text; text that is no timestamp leaves the connector out.
+    last_synced_at may be a timestamp or ISO text; times without a zone are UTC, and text
+    that is no timestamp leaves the connector out. `now` is a timestamp.
     """
+    kind = connectors.schema["last_synced_at"].dataType.simpleString()
     synced = F.col("last_synced_at")
-    at = F.try_to_timestamp(synced.cast("string")) if _is_text(connectors) else synced.cast("timestamp")
+    if kind == "string":
+        # Text that already names a zone does not parse with another one behind it.
+        at = F.unix_micros(
+            F.coalesce(F.try_to_timestamp(F.concat(synced, F.lit("Z"))), F.try_to_timestamp(synced))
+        )
+    elif kind == "timestamp_ntz":
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        at = F.timestamp_diff("MICROSECOND", epoch, synced)
+    else:
+        at = F.unix_micros(synced)
     interval = F.coalesce(F.col("sync_interval_minutes"), F.lit(60))
-    waited = F.unix_micros(now.cast("timestamp")) - F.unix_micros(at)
+    waited = F.unix_micros(now) - at
     due = synced.isNull() | (waited >= interval.cast("long") * 60_000_000)
     return connectors.where((F.col("status") == "active") & due)
 
 
-def _is_text(connectors: DataFrame) -> bool:
-    return connectors.schema["last_synced_at"].dataType.simpleString() == "string"
-
-
 def weak_queries(hits: DataFrame) -> DataFrame:
     """query_id, strong_hits, weak: fewer than three hits at 0.7 or above."""
     strong = effective_score(F.col("score"), F.col("rrf_score")) >= K.STRONG_HIT

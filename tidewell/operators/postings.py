@@ -9,6 +9,7 @@ from tidewell import constants as K
 from tidewell.functions import ordered
 from tidewell.functions.rows import explode_rows
 from tidewell.functions.text import terms
+from tidewell.session import materialise
 
 K1 = 1.2
 B = 0.75
@@ -58,14 +59,15 @@ def keyword_topk(
     """query_id, chunk_id, kw_score, rnk: the k best chunks holding all terms of a query.
 
     postings: chunk_id, pipeline_id, term, tf, n_terms, best read from a written table.
-    Candidates come from each query's rarest term only and the other terms are looked
-    up by (chunk, term), so a term found in most chunks costs nothing extra. A query
-    with a term the corpus lacks drops out before any lookup. `corpus` (n_chunks,
-    avg_terms per pipeline_id) is taken from the postings when not given.
+    They are read once: the rows of query terms are written out and all else runs on
+    them. Candidates come from each query's rarest term only and the other terms are
+    looked up by (chunk, term), so a term found in most chunks costs nothing extra. A
+    query with a term the corpus lacks drops out before any lookup. `corpus` (n_chunks,
+    avg_terms per pipeline_id) is a second read of the postings when not given.
     """
     qt = query_terms(queries, stop_words)
     vocabulary = qt.select("pipeline_id", "term").distinct()
-    hits = postings.join(vocabulary, ["pipeline_id", "term"], "left_semi")
+    hits = materialise(postings.join(vocabulary, ["pipeline_id", "term"], "left_semi"))
     df = hits.groupBy("pipeline_id", "term").agg(F.count("*").alias("df"))
     weighed = qt.join(df, ["pipeline_id", "term"])
     complete = (
