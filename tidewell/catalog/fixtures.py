@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from tidewell import constants as K
 from tidewell.functions.text import terms
 from tidewell.session import materialise
+from tidewell.sources.tables import read_table
+
+
+_TEXTS = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return read_table(spark, path) if name in _TEXTS else spark.read.parquet(path)
 
 
 def sql_list(values: list[str]) -> str:

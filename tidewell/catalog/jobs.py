@@ -122,10 +122,11 @@ def search_contexts(spark, sf):
     labels = fx.table(spark, sf, "labels").select(
         F.col("doc_id").alias("chunk_id"), F.col("quality").cast("double").alias("relevance")
     )
-    # Every query is scored against the labelled chunks of its own pipeline.
-    pairs = fx.chunks(spark, sf).select("chunk_id", "pipeline_id").join(labels, "chunk_id")
-    scores = queries.select("query_id", "pipeline_id").join(pairs, "pipeline_id").drop("pipeline_id")
-    found = search.search_batch(queries, corpus(spark, sf), scores=scores)
+
+    def scorer(pairs):
+        return pairs.join(labels, "chunk_id").select("query_id", "chunk_id", "relevance")
+
+    found = search.search_batch(queries, corpus(spark, sf), scores=scorer)
     return found.contexts.select("query_id", F.md5("context").alias("context_md5"))
 
 

@@ -9,6 +9,7 @@ from tidewell import constants as K
 from tidewell.functions import ordered
 from tidewell.functions.rows import explode_rows
 from tidewell.functions.text import strip, word_count, words
+from tidewell.session import materialise
 
 BLANK_LINE = "\n\n"
 
@@ -174,7 +175,7 @@ def semantic_chunks(
         ends_long = word_count(last) > target
         held = (F.col("type") != "table") & ~ends_long & (F.size("_units") > 0)
         step = step - held.cast("int")
-    return _explode_chunks(staged.withColumn("_pieces", pieces), step).drop("_units", "_bounds")
+    return _explode_chunks(staged.withColumn("_pieces", pieces), step)
 
 
 def hierarchical_chunks(
@@ -205,16 +206,17 @@ def hierarchical_chunks(
     staged = blocks.withColumn("_paras", F.filter(split, lambda e: F.size(e["w"]) > 0))
     families = F.flatten(F.transform(F.col("_paras"), lambda e: family(e["p"], e["w"])))
     pieces = F.when(F.col("type") == "table", _whole("hierarchical_parent")).otherwise(families)
-    return _explode_chunks(staged.withColumn("_pieces", pieces), F.size("_pieces")).drop("_paras")
+    return _explode_chunks(staged.withColumn("_pieces", pieces), F.size("_pieces"))
 
 
 def _explode_chunks(staged: DataFrame, step: Column) -> DataFrame:
     """One row per piece. Without block_no a row is a whole document and numbering is
-    local to it; with block_no it continues through the document's blocks."""
-    keep = [c for c in staged.columns if c not in ("content", "_pieces")]
+    local to it. With block_no it continues through the document's blocks, by running
+    counts; the cut blocks are written out first, as counts and rows both read them."""
+    keep = [c for c in staged.columns if c not in ("content", "_pieces", "_units", "_bounds", "_paras")]
     if "block_no" in staged.columns:
         numbered = ordered.running_sum(
-            staged.withColumn("_step", step),
+            materialise(staged.select(*keep, "_pieces", step.alias("_step"))),
             ["document_id"],
             ["block_no"],
             F.col("_step"),

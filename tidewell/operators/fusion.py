@@ -53,9 +53,10 @@ def attach_metadata(hits: DataFrame, chunks: DataFrame, documents: DataFrame) ->
     """Citation fields for hits; a hit without chunk or document keeps nulls."""
     fields = chunks.select(
         "chunk_id", "document_id", "page_number", "chunk_index", "source_type", "media_path"
-    ).join(documents.select("document_id", "filename"), "document_id")
+    )
     wanted = fields.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return hits.join(wanted, "chunk_id", "left")
+    cited = wanted.join(documents.select("document_id", "filename"), "document_id")
+    return hits.join(cited, "chunk_id", "left")
 
 
 def chunks_by_filename(requests: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:

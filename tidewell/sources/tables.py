@@ -1,0 +1,19 @@
+"""Stored tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+SMALL_BYTES = 256 * 1024 * 1024
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; a small one is spread over the cores.
+
+    A file with one row group is one task however many cores there are, which is slow for
+    work on texts. Below `SMALL_BYTES` moving the rows costs next to nothing; larger
+    tables have splits enough and are never moved.
+    """
+    df = spark.read.parquet(path)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_BYTES else df

@@ -17,6 +17,7 @@ from tidewell import constants as K
 from tidewell.functions import ordered
 from tidewell.operators.drift import score_drift
 from tidewell.operators.filters import due_connectors
+from tidewell.operators.ranking import latest_per_key
 from tidewell.plans.ingest import ingest_to_store
 from tidewell.plans.store import KeyedStore
 from tidewell.session import materialise
@@ -45,11 +46,15 @@ def ingest_stream(
     """Chunks of arriving files; a file delivered twice replaces its own chunks.
 
     files: a stream with the columns `ingest` takes, e.g. `stream_files` joined to the
-    document table. The newest delivery of a document within a batch counts.
+    document table. Of several deliveries in one batch the last by `modified` counts, any
+    of them where there is no such column.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        one = batch.dropDuplicates(["document_id"])
+        if "modified" in batch.columns:
+            one = latest_per_key(batch, "document_id", "modified", "modified")
+        else:
+            one = batch.dropDuplicates(["document_id"])
         result = ingest_to_store(one, store, **options)
         if summary_path:
             result.summary.write.mode("overwrite").parquet(f"{summary_path}/batch={number}")
