@@ -228,3 +228,40 @@ def test_containment(one):
     assert one(json_contains(doc, {"a": {"c": [2]}})) is True
     assert one(json_contains(doc, {"a": {"c": [3]}})) is False
     assert one(json_contains(doc, {"a": {"x": 1}})) is False
+
+
+STEMS = """
+consigned consign consigning consign consignment consign consistency consist consistently consist
+consolation consol consolatory consolatori consolidating consolid conspicuously conspicu
+conspiracy conspiraci conspirator conspir conspire conspir constables constabl constancy constanc
+kneeling kneel knightly knight knitting knit knives knive knocking knock knotty knotti knows know
+generate generat generously generous running run hopping hop hoping hope flies fli dies die
+happily happili skies sky early earli inning inning exceed exceed relational relat rational ration
+agreed agre feed feed ties tie gas gas kiwis kiwi gaps gap caresses caress ponies poni cats cat
+plastered plaster motoring motor sing sing bled bled say say by by cry cri enjoy enjoy
+vietnamization vietnam hopefulness hope electricity electr formalize formal adoption adopt
+controlling control roll roll rate rate cease ceas youth youth boyish boyish
+""".split()
+
+
+def test_stems(spark):
+    from tidewell.functions.stem import stem_words
+
+    pairs = list(zip(STEMS[::2], STEMS[1::2], strict=True))
+    df = spark.createDataFrame(pairs, "w string, want string")
+    rows = stem_words(df, "w", "s").collect()
+    assert [(r["w"], r["s"]) for r in rows if r["s"] != r["want"]] == []
+
+
+def test_ts_rank(one):
+    import math
+
+    from tidewell.operators.postings import ts_rank
+
+    def lists(*terms):
+        return F.array(*[F.array(*map(F.lit, t)) for t in terms])
+
+    assert one(ts_rank(lists([3, 9]))) == pytest.approx(0.1 * 1.25 / 1.64493406685)
+    near = [0.1 * math.sqrt(1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))) for d in (1, 4)]
+    assert one(ts_rank(lists([3], [4, 7]))) == pytest.approx(1 - (1 - near[0]) * (1 - near[1]))
+    assert one(ts_rank(lists([3], [3000]))) == 0.0

@@ -104,7 +104,8 @@ def rankings(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     bucket = F.floor(F.col("line") / ordered.BUCKET_ROWS)
-    return ordered.row_number(firsts, ["query_id"], ["line", "chunk_id"], bucket, "rank").drop("line")
+    ranked = ordered.row_number(firsts, ["query_id"], ["line", "chunk_id"], bucket, "rank")
+    return materialise(ranked.drop("line"))
 
 
 def expected(rankings: DataFrame) -> DataFrame:

@@ -188,6 +188,53 @@ def bm25_topk(spark, sf):
     return top.withColumn("kw_score", F.round("kw_score", 6))
 
 
+@query(
+    "ts_rank_topk",
+    "WITH " + fx.CHUNKS + "," + fx.QUERY_TEXT + """,
+tokens AS (
+  SELECT chunk_id, pipeline_id, unnest(t) AS term, least(generate_subscripts(t, 1), 16383) AS pos
+  FROM (SELECT chunk_id, pipeline_id, regexp_extract_all(lower(content), '[\\p{L}\\p{Nd}]+') AS t FROM chunks)
+),
+postings AS (
+  SELECT chunk_id, pipeline_id, term, list_sort(list(DISTINCT pos))[1:256] AS ps FROM tokens
+  WHERE term NOT IN ({stops}) GROUP BY 1, 2, 3
+),
+qt AS (
+  SELECT query_id, pipeline_id, term, count(*) OVER (PARTITION BY query_id) AS n_q
+  FROM (SELECT query_id, pipeline_id, unnest(qterms) AS term FROM query_text) WHERE term NOT IN ({stops})
+),
+both_terms AS (
+  SELECT query_id, chunk_id, n_q, list(ps ORDER BY term) AS l FROM qt JOIN postings USING (pipeline_id, term)
+  GROUP BY 1, 2, 3 HAVING count(*) = n_q
+),
+scored AS (
+  SELECT query_id, chunk_id, round(CASE WHEN n_q = 1
+      THEN list_sum(list_transform(range(1, len(l[1]) + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.64493406685
+      ELSE 1 - exp(list_sum(list_transform(l[1], lambda p: list_sum(list_transform(l[2], lambda q:
+        CASE WHEN abs(p - q) BETWEEN 1 AND 100
+             THEN ln(1 - 0.1::DOUBLE * sqrt(1 / (1.005 + 0.05 * exp(abs(p - q) / 1.5::DOUBLE - 2)))) ELSE 0 END))))) END, 9) AS kw_score
+  FROM both_terms
+)
+SELECT query_id, chunk_id, round(kw_score, 6) AS kw_score, CAST(rnk AS INTEGER) AS rnk FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_score DESC, chunk_id) AS rnk FROM scored) WHERE rnk <= 40""".replace(
+        "{stops}", fx.STOPS
+    ),
+)
+def ts_rank_topk(spark, sf):
+    index = materialise(postings.build_postings(fx.chunks(spark, sf), keep=["pipeline_id"], positions=True))
+    top = postings.keyword_topk(fx.queries(spark, sf), index, 40, scorer="ts_rank")
+    return top.withColumn("kw_score", F.round("kw_score", 6))
+
+
+@query("stemmed_topk")
+def stemmed_topk(spark, sf):
+    """Full text search: stems, stop words out, positional rank."""
+    index = materialise(
+        postings.build_postings(fx.chunks(spark, sf), keep=["pipeline_id"], stem=True, positions=True)
+    )
+    return postings.keyword_topk(fx.queries(spark, sf), index, 40, scorer="ts_rank", stem=True)
+
+
 @query(
     "fused_ranks",
     "WITH " + _DENSE.replace("{cands}", "chunks") + "," + _keyword_sql(_BM25)

@@ -78,6 +78,7 @@ def hybrid_search(
     method: str = "hybrid",
     scorer: str = "bm25",
     with_content: bool = True,
+    stem: bool = False,
 ) -> DataFrame:
     """query_id, chunk_id, rrf_score, rank[, content]: both rankings fused per query.
 
@@ -91,7 +92,7 @@ def hybrid_search(
         postings = postings.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
     lists = [dense_topk(queries, candidates, 2 * limit)]
     if method != "dense":
-        lists.append(keyword_topk(queries, postings, 2 * limit, scorer=scorer))
+        lists.append(keyword_topk(queries, postings, 2 * limit, scorer=scorer, stem=stem))
     hits = rrf(lists, limit=limit)
     return attach_content(hits, chunks) if with_content else hits
 

@@ -8,44 +8,67 @@ from pyspark.sql import functions as F
 from tidewell import constants as K
 from tidewell.functions import ordered
 from tidewell.functions.rows import explode_rows
+from tidewell.functions.stem import stem_words
 from tidewell.functions.text import terms
 from tidewell.session import materialise
 
 K1 = 1.2
 B = 0.75
 
+# Limits and weights of the text-search rank
+MAX_POSITION = 16383
+MAX_POSITIONS = 256
+TERM_WEIGHT = 0.1
+SQUARES_LIMIT = 1.64493406685
+FAR = 100
 
-def lexemes(text: Column, stop_words: list[str] = K.STOP_WORDS) -> Column:
-    """Terms of a text without stop words, repeats kept."""
-    if not stop_words:
-        return terms(text)
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(terms(text), lambda t: ~F.array_contains(stops, t))
+
+def _lexeme_rows(
+    df: DataFrame, keep: list, text: Column, stop_words: list[str], stem: bool
+) -> DataFrame:
+    """keep..., pos, term, n_terms: terms without stop words, stemmed on request.
+
+    Positions count every term of the text, stop words too, from 1.
+    """
+    listed = df.select(*keep, terms(text).alias("_terms"))
+    rows = explode_rows(listed, [*keep, F.size("_terms").alias("n_terms")], F.col("_terms"), "term")
+    if stop_words:
+        rows = rows.where(~F.col("term").isin(*stop_words))
+    if stem:
+        rows = stem_words(rows, "term", "_stem").drop("term").withColumnRenamed("_stem", "term")
+    return rows.withColumn("pos", F.col("pos") + 1)
 
 
 def build_postings(
-    chunks: DataFrame, text: str = "content", stop_words: list[str] = K.STOP_WORDS, keep: list[str] = ()
+    chunks: DataFrame,
+    text: str = "content",
+    stop_words: list[str] = K.STOP_WORDS,
+    keep: list[str] = (),
+    stem: bool = False,
+    positions: bool = False,
 ) -> DataFrame:
-    """chunk_id, keep..., term, tf, n_terms. Counts are combined before the shuffle."""
-    return (
-        explode_rows(
-            chunks.select("chunk_id", *keep, terms(F.col(text)).alias("_terms")),
-            ["chunk_id", *keep, F.size("_terms").alias("_n")],
-            F.col("_terms"),
-            "term",
-        )
-        .where(~F.col("term").isin(*stop_words) if stop_words else F.lit(True))
-        .groupBy("chunk_id", *keep, "term")
-        .agg(F.count("*").cast("int").alias("tf"), F.first("_n").alias("n_terms"))
-    )
+    """chunk_id, keep..., term, tf, n_terms[, positions].
+
+    Counts are combined before the shuffle. Positions, needed by the `ts_rank` scorer, go
+    up to 16,383 and number at most 256 per term, the limits of the text index whose rank
+    they reproduce; tf still counts every occurrence.
+    """
+    rows = _lexeme_rows(chunks, ["chunk_id", *keep], F.col(text), stop_words, stem)
+    found = [F.count("*").cast("int").alias("tf"), F.first("n_terms").alias("n_terms")]
+    if positions:
+        at = F.array_sort(F.collect_list(F.least("pos", F.lit(MAX_POSITION))))
+        found.append(F.slice(F.array_distinct(at), 1, MAX_POSITIONS).alias("positions"))
+    return rows.groupBy("chunk_id", *keep, "term").agg(*found)
 
 
-def query_terms(queries: DataFrame, stop_words: list[str] = K.STOP_WORDS) -> DataFrame:
+def query_terms(
+    queries: DataFrame, stop_words: list[str] = K.STOP_WORDS, stem: bool = False
+) -> DataFrame:
     """query_id, pipeline_id, term, n_q: distinct terms; none for a stop-word-only query."""
-    found = F.array_distinct(lexemes(F.col("q"), stop_words))
-    listed = queries.select("query_id", "pipeline_id", found.alias("_t"))
+    rows = _lexeme_rows(queries, ["query_id", "pipeline_id"], F.col("q"), stop_words, stem)
+    distinct = rows.groupBy("query_id", "pipeline_id").agg(F.collect_set("term").alias("_t"))
     keep = ["query_id", "pipeline_id", F.size("_t").alias("n_q")]
-    return explode_rows(listed, keep, F.col("_t"), "term").drop("pos")
+    return explode_rows(distinct, keep, F.col("_t"), "term").drop("pos")
 
 
 def keyword_topk(
@@ -55,9 +78,13 @@ def keyword_topk(
     scorer: str = "bm25",
     stop_words: list[str] = K.STOP_WORDS,
     corpus: DataFrame | None = None,
+    stem: bool = False,
 ) -> DataFrame:
     """query_id, chunk_id, kw_score, rnk: the k best chunks holding all terms of a query.
 
+    `scorer` is bm25, tf, or ts_rank, which ranks as the text search of PostgreSQL does
+    and needs postings with positions. `stem` must match how the postings were built.
+
     postings: chunk_id, pipeline_id, term, tf, n_terms, best read from a written table.
     They are read once: the rows of query terms are written out and all else runs on
     them. Candidates come from each query's rarest term only and the other terms are
@@ -65,7 +92,7 @@ def keyword_topk(
     query with a term the corpus lacks drops out before any lookup. `corpus` (n_chunks,
     avg_terms per pipeline_id) is a second read of the postings when not given.
     """
-    qt = query_terms(queries, stop_words)
+    qt = query_terms(queries, stop_words, stem)
     vocabulary = qt.select("pipeline_id", "term").distinct()
     hits = materialise(postings.join(vocabulary, ["pipeline_id", "term"], "left_semi"))
     df = hits.groupBy("pipeline_id", "term").agg(F.count("*").alias("df"))
@@ -90,11 +117,19 @@ def keyword_topk(
         score = bm25_weight(
             F.col("tf"), F.col("df"), F.col("n_terms"), F.col("n_chunks"), F.col("avg_terms")
         )
-    elif scorer != "tf":
+    elif scorer not in ("tf", "ts_rank"):
         raise ValueError(f"unknown scorer: {scorer}")
+    total = F.sum(score)
+    if scorer == "ts_rank":
+        # At most n_q lists of 256 positions meet per query and chunk.
+        lists = F.transform(
+            F.array_sort(F.collect_list(F.struct("term", "positions"))), lambda s: s["positions"]
+        )
+        total = lists
     ranked = (
         matched.groupBy("query_id", "chunk_id", "n_q")
-        .agg(F.count("*").alias("_m"), F.round(F.sum(score), 9).alias("kw_score"))
+        .agg(F.count("*").alias("_m"), total.alias("_total"))
+        .withColumn("kw_score", F.round(ts_rank(F.col("_total")) if scorer == "ts_rank" else F.col("_total"), 9))
         .where(F.col("_m") == F.col("n_q"))
         .select("query_id", "chunk_id", "kw_score")
     )
@@ -118,5 +153,36 @@ def bm25_weight(tf: Column, df: Column, n_terms: Column, n_chunks: Column, avg_t
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_terms / avg_terms))
 
 
+def ts_rank(positions: Column) -> Column:
+    """Rank of a text holding all terms, from the positions of each term.
+
+    One term: its weight times the sum of 1/j^2 over its occurrences, scaled. Several:
+    1 - product of (1 - closeness) over all position pairs of different terms, where
+    closeness falls with the distance and is nothing beyond 100 terms.
+    """
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+    def far_apart(p: Column, q: Column) -> Column:
+        gap = F.abs(p - q)
+        near = TERM_WEIGHT * F.sqrt(1.0 / (1.005 + 0.05 * F.exp(gap / 1.5 - 2)))
+        return F.when((gap == 0) | (gap > FAR), 0.0).otherwise(F.log1p(-near))
+
+    def between(a: Column, b: Column) -> Column:
+        return total(F.transform(a, lambda p: total(F.transform(b, lambda q: far_apart(p, q)))))
+
+    pairs = F.transform(
+        positions,
+        lambda a, i: total(
+            F.transform(F.slice(positions, i + 2, F.size(positions)), lambda b: between(a, b))
+        ),
+    )
+    single = total(
+        F.transform(F.get(positions, 0), lambda _, j: F.lit(TERM_WEIGHT) / ((j + 1) * (j + 1)))
+    )
+    return F.when(F.size(positions) == 1, single / SQUARES_LIMIT).otherwise(1 - F.exp(total(pairs)))
+
+
 def bm25(queries: DataFrame, postings: DataFrame, k: int, **options) -> DataFrame:
     return keyword_topk(queries, postings, k, scorer="bm25", **options)
