@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell import constants as K
 from tidewell.catalog import fixtures as fx
-from tidewell.catalog import retrieval, scoring, texts, upkeep
+from tidewell.catalog import parsing, retrieval, scoring, texts, upkeep
 from tidewell.catalog.registry import query
 from tidewell.operators import postings
 from tidewell.operators.embedding import embed_chunks
@@ -55,7 +55,27 @@ def ingested_documents(spark, sf):
     return ingest(_files(spark, sf), dim=64).summary.drop("chunk_count")
 
 
-@query("ingested_chunks")
+def _masked(name: str, where: str) -> str:
+    """The masked, non-blank documents of one kind under the columns of the chunk SQL."""
+    return f"{name} AS (SELECT doc_id, t AS text, 'x' AS source FROM m5 WHERE doc_id % 11 <> 0 AND {where})"
+
+
+# Masked documents cut by line: hierarchical where German, else packed.
+_INGESTED_CHUNKS = (
+    texts._mask_sql()
+    + ","
+    + _masked("packed", "lang <> 'de'")
+    + ","
+    + _masked("parted", "lang = 'de'")
+    + " SELECT document_id, chunk_index, token_count, 'semantic' AS chunk_strategy, CAST(64 AS INTEGER) AS dim FROM ("
+    + parsing._semantic_sql("chr(10)").replace("FROM documents", "FROM packed")
+    + ") UNION ALL SELECT document_id, chunk_index, token_count, strategy, CAST(64 AS INTEGER) FROM ("
+    + (parsing._HIERARCHY + " SELECT * FROM chunk").replace("FROM documents", "FROM parted")
+    + ")"
+)
+
+
+@query("ingested_chunks", _INGESTED_CHUNKS)
 def ingested_chunks(spark, sf):
     chunks = ingest(_files(spark, sf), dim=64, sep="\n").chunks
     return chunks.select("document_id", "chunk_index", "token_count", "chunk_strategy", F.size("embedding").alias("dim"))

@@ -153,6 +153,18 @@ def html_blocks(spark, sf):
     return html.html_to_blocks(fx.table(spark, sf, "pages").drop("url"))
 
 
+_UNESCAPE = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
+for _old, _new in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+    _UNESCAPE = f"replace({_UNESCAPE}, '{_old}', '{_new}')"
+
+
+@query("page_headings", f"SELECT page_id, {_TRIM.format(_UNESCAPE)} AS heading FROM pages")
+def page_headings(spark, sf):
+    """The first block left on a page once navigation and scripts are dropped."""
+    blocks = html.html_to_blocks(fx.table(spark, sf, "pages").drop("url"))
+    return blocks.groupBy("page_id").agg(F.min_by("content", "block_no").alias("heading"))
+
+
 # Transcripts: the sentences of a document as segments of five seconds.
 @query(
     "transcript_blocks",
