@@ -14,6 +14,8 @@ def get_spark(app: str = "tidewell", master: str | None = None, conf: dict | Non
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Keeps rows without a partner out of the shuffle when few hits meet all chunks.
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         **(conf or {}),

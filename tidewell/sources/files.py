@@ -20,6 +20,7 @@ def stream_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
     """The same rows for files that keep arriving."""
     reader = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files)
     )
