@@ -7,6 +7,9 @@ per (key, bucket) is summed along the key; inside a bucket a plain window runs.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,13 @@ from pyspark.sql import functions as F
 BUCKET_ROWS = 8192
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which a null key meets a null key; `keys` appear once, from the left."""
+    there = right.select([F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys])
+    return left.join(there, same).drop(*[f"_r_{c}" for c in keys])
+
+
 def running_sum(
     df: DataFrame, keys: list[str], order: list[str], value: Column, bucket: Column, out: str
 ) -> DataFrame:
@@ -27,7 +37,7 @@ def running_sum(
     inside = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = staged.withColumn("_s", F.sum("_v").over(inside))
     return (
-        local.join(offsets, [*keys, "_b"])
+        join_null_safe(local, offsets, [*keys, "_b"])
         .withColumn(out, F.col("_s") + F.col("_o"))
         .drop("_v", "_b", "_s", "_o")
     )
@@ -44,7 +54,7 @@ def running_max(
     inside = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = staged.withColumn("_s", F.max("_v").over(inside))
     return (
-        local.join(offsets, [*keys, "_b"])
+        join_null_safe(local, offsets, [*keys, "_b"])
         .withColumn(out, F.greatest("_s", "_o"))
         .drop("_v", "_b", "_s", "_o")
     )
