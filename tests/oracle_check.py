@@ -74,7 +74,7 @@ def main() -> int:
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
 
-    from tidewell.catalog import ORACLES, QUERIES
+    import __spark_entry__ as entry
     from tidewell.session import get_spark
 
     spark = get_spark(
@@ -84,6 +84,7 @@ def main() -> int:
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)
+    QUERIES, ORACLES = entry.queries(), entry.oracle_sql()  # noqa: N806
     bad = 0
     for name in args.names or QUERIES:
         start = time.time()
