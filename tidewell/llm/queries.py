@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, mixing, packing, quality
+from tidewell.llm import chat, mixing, neighbours, packing, quality, simhash
 from tidewell.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,13 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"))
 
 
+@_query()
+def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and group of every document."""
+    found = simhash.near_duplicates(_table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @_query()
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics of and decision on every document; rules learned from `labels`."""
@@ -83,3 +90,9 @@ def op8_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars", "valid",
     )
+
+
+@_query()
+def op9_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one, among all others."""
+    return neighbours.search(_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
