@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, mixing, neighbours, packing, quality, simhash
+from tidewell.llm import chat, mixing, neighbours, packing, quality, simhash, substring, suffixes
 from tidewell.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,13 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@_query()
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of every document without those in windows of 35 found twice."""
+    found = substring.remove_repeats(_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query()
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Mix of all documents by weights 5, 2, 1, at 150 % of their words."""
@@ -96,3 +103,10 @@ def op8_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
 def op9_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one, among all others."""
     return neighbours.search(_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query()
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of every document without strings of 50 that an earlier document has."""
+    found = suffixes.remove_repeats(_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
