@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, mixing, neighbours, packing, quality, simhash, substring, suffixes
+import corpus_pipeline
+from tidewell.llm import chat, licenses, lines, mixing, neighbours, packing, quality, simhash, substring, suffixes
 from tidewell.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,20 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@_query()
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line with a word of every document, with the first line of its class."""
+    found = lines.classes(_table(spark, sf, "documents"))
+    same = F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line") == F.col("class_line"))
+    return found.withColumn("kept", same)
+
+
+@_query()
+def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Best passage of every license template in every document that holds it."""
+    return licenses.scan(_table(spark, sf, "documents"))
+
+
 @_query()
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Mix of all documents by weights 5, 2, 1, at 150 % of their words."""
@@ -110,3 +125,9 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of every document without strings of 50 that an earlier document has."""
     found = suffixes.remove_repeats(_table(spark, sf, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf)

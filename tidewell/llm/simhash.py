@@ -231,6 +231,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """Rows of `docs` that are the first of their group; rows that share an id stay together."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"))  # keeps names apart
+    return rows.join(kept, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi").select("_row.*")

@@ -114,7 +114,7 @@ class Rolling:
         n = len(self.sums) - 1 - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[k:] - self.sums[:-k]) * self.up[:n] + np.uint64(k) * np.uint64(0xA0761D6478BD642F))
+        return mix((self.sums[k:] - self.sums[:-k]) * self.up[:n] + np.uint64(k * 0xA0761D6478BD642F & (1 << 64) - 1))
 
 
 def slide(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
