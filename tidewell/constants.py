@@ -114,7 +114,6 @@ AUDIT_EVENTS = [
 AUDIT_PII_KEYS = ["email", "phone", "ssn", "aadhaar", "credit_card", "ip", "query", "content"]
 
 # Document states
-DOCUMENT_STATUS = ["queued", "pre_processing", "processing", "completed", "failed", "cancelled"]
 RETRYABLE_STATUS = ["queued", "failed", "completed"]
 
 # Approval policy

@@ -26,14 +26,14 @@ def sentences(paragraph: Column) -> Column:
 
 
 def route_strategy(strategy: Column) -> Column:
-    """`auto` means semantic; an unknown strategy is an error."""
-    return (
-        F.when(strategy == "auto", "semantic")
-        .when(strategy.isin("semantic", "hierarchical"), strategy)
-        .otherwise(
-            F.raise_error(F.concat(F.lit("unknown chunking strategy: "), strategy)).cast("string")
-        )
-    )
+    """`auto` means semantic; null for an unknown strategy."""
+    return F.when(strategy == "auto", "semantic").when(strategy.isin("semantic", "hierarchical"), strategy)
+
+
+def strategy_error(strategy: Column) -> Column:
+    """What is wrong with a strategy, null if nothing."""
+    named = F.concat(F.lit("unknown chunking strategy: "), F.coalesce(strategy, F.lit("none")))
+    return F.when(route_strategy(strategy).isNull(), named)
 
 
 def _units(target: int, sep: str) -> Column:
@@ -236,7 +236,7 @@ def _explode_chunks(staged: DataFrame, step: Column) -> DataFrame:
 
 
 def chunk_by_strategy(blocks: DataFrame, strategy: str = "chunking_strategy", **options) -> DataFrame:
-    """Send each block to the chunker its strategy column names."""
+    """Send each block to the chunker its strategy column names; unknown ones give no chunks."""
     routed = blocks.withColumn("_route", route_strategy(F.col(strategy)))
     sep = options.get("sep", BLANK_LINE)
     parts = [

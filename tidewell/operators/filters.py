@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ def tenant_filter(df: DataFrame, organization, column: str = "organization_id")
 def metadata_contains(metadata: Column, wanted: Column) -> Column:
     """True when the map holds every entry of `wanted`; null or empty means no filter."""
     held = F.forall(
-        F.map_entries(wanted), lambda e: F.try_element_at(metadata, e["key"]).eqNullSafe(e["value"])
+        F.map_entries(wanted),
+        lambda e: F.map_contains_key(metadata, e["key"])
+        & F.try_element_at(metadata, e["key"]).eqNullSafe(e["value"]),
     )
     return F.when(wanted.isNull() | (F.size(wanted) <= 0), True).otherwise(
         F.coalesce(held, F.lit(False))
@@ -29,28 +33,45 @@ def metadata_contains(metadata: Column, wanted: Column) -> Column:
 
 
 def json_contains(document: Column, wanted: dict) -> Column:
-    """Containment of a nested filter in JSON text: objects by key, lists by element."""
-    value = F.try_parse_json(document)
+    """Containment of a nested filter in JSON text: objects by key, lists by element.
+
+    Values are compared by type: numbers by value, so 1 equals 1.0, and never with strings;
+    null only with null. An element of a wanted list may match any element of the list.
+    """
 
-    def held(path: str, want) -> Column:
+    def held(value: Column, want) -> Column:
+        kind = F.coalesce(F.schema_of_variant(value), F.lit(""))
         if isinstance(want, dict):
-            out = F.coalesce(F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-                             .startswith("OBJECT"), F.lit(False))
+            out = kind.startswith("OBJECT")
             for key, inner in want.items():
-                out = out & held(f"{path}.{key}", inner)
+                quote = '"' if "'" in key else "'"
+                path = f"$[{quote}{key}{quote}]"
+                out = out & held(F.try_variant_get(value, path, "variant"), inner)
             return out
         if isinstance(want, list):
-            have = F.try_variant_get(value, path, "array<string>")
-            out = have.isNotNull()
+            have = F.try_variant_get(value, "$", "array<variant>")
+            out = kind.startswith("ARRAY")
             for inner in want:
-                out = out & F.coalesce(F.array_contains(have, _text(inner)), F.lit(False))
+                out = out & F.coalesce(F.exists(have, holds(inner)), F.lit(False))
             return out
-        return F.coalesce(F.try_variant_get(value, path, "string") == _text(want), F.lit(False))
+        if want is None:
+            return F.coalesce(F.is_variant_null(value), F.lit(False))
+        if isinstance(want, bool):
+            same = F.try_variant_get(value, "$", "boolean") == F.lit(want)
+            return F.coalesce((kind == "BOOLEAN") & same, F.lit(False))
+        if isinstance(want, int | float):
+            number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+            return F.coalesce(number & (F.try_variant_get(value, "$", "double") == F.lit(float(want))), F.lit(False))
+        return F.coalesce((kind == "STRING") & (F.try_variant_get(value, "$", "string") == F.lit(want)), F.lit(False))
+
+    def holds(want) -> Callable[[Column], Column]:
+        return lambda element: held(element, want)
 
-    return held("$", wanted) if wanted else F.lit(True)
+    return held(F.try_parse_json(document), wanted) if wanted else F.lit(True)
 
 
-def _text(v) -> str:
+def as_text(v) -> str:
+    """A filter value as metadata maps hold it."""
     return str(v).lower() if isinstance(v, bool) else str(v)
 
 

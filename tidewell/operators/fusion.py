@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewell import constants as K
 from tidewell.functions import ordered
 from tidewell.operators.dense import dense_topk
-from tidewell.operators.filters import metadata_contains, weak_queries
+from tidewell.operators.filters import as_text, json_contains, metadata_contains, weak_queries
 from tidewell.operators.postings import keyword_topk
 
 
@@ -82,17 +82,25 @@ def hybrid_search(
 ) -> DataFrame:
     """query_id, chunk_id, rrf_score, rank[, content]: both rankings fused per query.
 
-    queries: query_id, pipeline_id, q, q_embedding. The metadata filter is applied to
-    both sides before they are ranked; content is joined only to what is left.
+    queries: query_id, pipeline_id, q, q_embedding. `postings` is a table or a TermIndex.
+    The metadata filter, nested where metadata is JSON text, is applied to both sides
+    before they are ranked; content is joined only to what is left.
     """
     candidates = chunks
+    allowed = None
     if metadata_filter:
-        wanted = F.create_map(*[F.lit(str(x)) for pair in metadata_filter.items() for x in pair])
-        candidates = chunks.where(metadata_contains(F.col("metadata"), wanted))
-        postings = postings.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
+        if chunks.schema["metadata"].dataType.simpleString() == "string":
+            held = json_contains(F.col("metadata"), metadata_filter)
+        else:
+            wanted = [F.lit(v) for k, x in metadata_filter.items() for v in (k, None if x is None else as_text(x))]
+            held = metadata_contains(F.col("metadata"), F.create_map(*wanted).cast("map<string,string>"))
+        candidates = chunks.where(held)
+        allowed = candidates.select("chunk_id")
     lists = [dense_topk(queries, candidates, 2 * limit)]
     if method != "dense":
-        lists.append(keyword_topk(queries, postings, 2 * limit, scorer=scorer, stem=stem))
+        lists.append(
+            keyword_topk(queries, postings, 2 * limit, scorer=scorer, stem=stem, allowed=allowed)
+        )
     hits = rrf(lists, limit=limit)
     return attach_content(hits, chunks) if with_content else hits
 
@@ -186,9 +194,8 @@ def rerank_topk(hits: DataFrame, scores: DataFrame, top_k: int | str = K.DEFAULT
     usable = joined.where(~scored | F.col("relevance").isNotNull()).withColumn("score", score)
     ranking = W.partitionBy("query_id").orderBy(F.col("score").desc(), "rank", "chunk_id")
     limit = F.col(top_k) if isinstance(top_k, str) else F.lit(top_k)
-    ceiling = K.MAX_TOP_K if isinstance(top_k, str) else top_k
     return (
         usable.withColumn("new_rank", F.row_number().over(ranking))
-        .where((F.col("new_rank") <= ceiling) & (F.col("new_rank") <= limit))
+        .where(F.col("new_rank") <= limit)
         .drop("relevance", "_scored")
     )

@@ -80,23 +80,31 @@ def register_documents(files: DataFrame) -> DataFrame:
     )
 
 
-def ingest_summary(documents: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+def ingest_summary(
+    documents: DataFrame, blocks: DataFrame, chunks: DataFrame, errors: DataFrame | None = None
+) -> DataFrame:
     """document_id, status, chunk_count, pii_entities, error for every document.
 
     blocks: document_id, pii_count of non-blank masked blocks. A failed document keeps
-    no counts, as nothing of it is stored.
+    no counts, as nothing of it is stored. errors: document_id, problem of documents that
+    could not be read or cut.
     """
     per_doc = blocks.groupBy("document_id").agg(
         F.count("*").alias("_blocks"), F.sum("pii_count").cast("long").alias("_pii")
     )
     counted = chunks.groupBy("document_id").agg(F.count("*").alias("_chunks"))
+    documents = documents.select("document_id")
+    if errors is None:
+        documents = documents.withColumn("problem", F.lit(None).cast("string"))
+    else:
+        documents = documents.join(errors.groupBy("document_id").agg(F.min("problem").alias("problem")), "document_id", "left")
     error = (
-        F.when(F.coalesce("_blocks", F.lit(0)) == 0, "No extractable text found in document.")
+        F.when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(F.coalesce("_blocks", F.lit(0)) == 0, "No extractable text found in document.")
         .when(F.coalesce("_chunks", F.lit(0)) == 0, "Document yielded 0 chunks after splitting.")
     )
     joined = (
-        documents.select("document_id")
-        .join(per_doc, "document_id", "left")
+        documents.join(per_doc, "document_id", "left")
         .join(counted, "document_id", "left")
         .withColumn("error", error)
     )

@@ -16,8 +16,8 @@ K1 = 1.2
 B = 0.75
 
 # Limits and weights of the text-search rank
-MAX_POSITION = 16383
-MAX_POSITIONS = 256
+PG_MAX_POSITION = 16383
+PG_MAX_POSITIONS = 256
 TERM_WEIGHT = 0.1
 SQUARES_LIMIT = 1.64493406685
 FAR = 100
@@ -46,18 +46,22 @@ def build_postings(
     keep: list[str] = (),
     stem: bool = False,
     positions: bool = False,
+    pg_limits: bool = False,
 ) -> DataFrame:
     """chunk_id, keep..., term, tf, n_terms[, positions].
 
-    Counts are combined before the shuffle. Positions, needed by the `ts_rank` scorer, go
-    up to 16,383 and number at most 256 per term, the limits of the text index whose rank
-    they reproduce; tf still counts every occurrence.
+    Counts are combined before the shuffle. Positions are needed by the `ts_rank` scorer.
+    With `pg_limits` they go up to 16,383 and number at most 256 per term, as in the text
+    index whose rank they reproduce; tf counts every occurrence either way.
     """
     rows = _lexeme_rows(chunks, ["chunk_id", *keep], F.col(text), stop_words, stem)
     found = [F.count("*").cast("int").alias("tf"), F.first("n_terms").alias("n_terms")]
     if positions:
-        at = F.array_sort(F.collect_list(F.least("pos", F.lit(MAX_POSITION))))
-        found.append(F.slice(F.array_distinct(at), 1, MAX_POSITIONS).alias("positions"))
+        at = F.col("pos")
+        if pg_limits:
+            at = F.least(at, F.lit(PG_MAX_POSITION))
+        listed = F.array_distinct(F.array_sort(F.collect_list(at)))
+        found.append((F.slice(listed, 1, PG_MAX_POSITIONS) if pg_limits else listed).alias("positions"))
     return rows.groupBy("chunk_id", *keep, "term").agg(*found)
 
 
@@ -79,6 +83,7 @@ def keyword_topk(
     stop_words: list[str] = K.STOP_WORDS,
     corpus: DataFrame | None = None,
     stem: bool = False,
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, chunk_id, kw_score, rnk: the k best chunks holding all terms of a query.
 
@@ -87,13 +92,23 @@ def keyword_topk(
 
     postings: chunk_id, pipeline_id, term, tf, n_terms, best read from a written table.
     They are read once: the rows of query terms are written out and all else runs on
-    them. Candidates come from each query's rarest term only and the other terms are
-    looked up by (chunk, term), so a term found in most chunks costs nothing extra. A
-    query with a term the corpus lacks drops out before any lookup. `corpus` (n_chunks,
-    avg_terms per pipeline_id) is a second read of the postings when not given.
+    them. A TermIndex reads the partitions of these terms only and brings its own corpus
+    statistics. Queries of a pipeline with the same terms are ranked once. Candidates come
+    from the rarest term of a set only, cut to the chunk_ids of `allowed` where given, and
+    the other terms are looked up by (chunk, term), so a term found in most chunks costs
+    nothing extra. A set with a term the corpus lacks drops out before any lookup. `corpus`
+    (n_chunks, avg_terms per pipeline_id) is a second read of the postings when not given.
     """
-    qt = query_terms(queries, stop_words, stem)
+    terms_of = query_terms(queries, stop_words, stem)
+    sets = terms_of.groupBy("query_id", "pipeline_id").agg(F.array_sort(F.collect_list("term")).alias("_t"))
+    sets = materialise(sets.withColumn("_set", F.array_join("_t", " ")))
+    # From here on a query is a distinct set of terms of a pipeline.
+    distinct = sets.select(F.struct("pipeline_id", "_set").alias("query_id"), "pipeline_id", "_t").distinct()
+    qt = distinct.select("query_id", "pipeline_id", F.size("_t").cast("long").alias("n_q"), F.explode("_t").alias("term"))
     vocabulary = qt.select("pipeline_id", "term").distinct()
+    if not isinstance(postings, DataFrame):
+        corpus = postings.stats() if corpus is None else corpus
+        postings = postings.lookup(vocabulary)
     hits = materialise(postings.join(vocabulary, ["pipeline_id", "term"], "left_semi"))
     df = hits.groupBy("pipeline_id", "term").agg(F.count("*").alias("df"))
     weighed = qt.join(df, ["pipeline_id", "term"])
@@ -108,6 +123,8 @@ def keyword_topk(
     candidates = complete.join(
         hits.select("pipeline_id", F.col("term").alias("lead"), "chunk_id"), ["pipeline_id", "lead"]
     ).select("query_id", "chunk_id")
+    if allowed is not None:
+        candidates = candidates.join(allowed, "chunk_id", "left_semi")
     wanted = candidates.join(weighed, "query_id")
     matched = wanted.join(hits, ["pipeline_id", "chunk_id", "term"])
     score = F.col("tf").cast("double")
@@ -121,7 +138,7 @@ def keyword_topk(
         raise ValueError(f"unknown scorer: {scorer}")
     total = F.sum(score)
     if scorer == "ts_rank":
-        # At most n_q lists of 256 positions meet per query and chunk.
+        # One list of positions per term meets per set and chunk.
         lists = F.transform(
             F.array_sort(F.collect_list(F.struct("term", "positions"))), lambda s: s["positions"]
         )
@@ -134,7 +151,12 @@ def keyword_topk(
         .select("query_id", "chunk_id", "kw_score")
     )
     best = [F.col("kw_score").desc(), F.col("chunk_id")]
-    return ordered.newest(ranked, ["query_id"], best, k, "rnk")
+    top = ordered.newest(ranked, ["query_id"], best, k, "rnk").select(
+        F.col("query_id.pipeline_id").alias("pipeline_id"), F.col("query_id._set").alias("_set"), "chunk_id", "kw_score", "rnk"
+    )
+    return sets.select("query_id", "pipeline_id", "_set").join(top, ["pipeline_id", "_set"]).select(
+        "query_id", "chunk_id", "kw_score", "rnk"
+    )
 
 
 def corpus_stats(postings: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tidewell.operators import chunking, lifecycle, pii
 from tidewell.operators.embedding import Provider, embed_chunks
 from tidewell.operators.filters import drop_blank_blocks
 from tidewell.plans.store import KeyedStore
+from tidewell.plans.term_index import TermIndex
 from tidewell.session import materialise
 from tidewell.sources import files as file_source
 from tidewell.sources import tabular, transcripts
@@ -49,7 +50,8 @@ def parse_files(files: DataFrame, parsers: dict[str, BlockParser] | None = None)
 
     files: document_id, filename, mime_type, bytes and any further columns. `parsers`
     maps a format to a function of (bytes, filename) giving array<BLOCK>; binary formats
-    need one, as a file without blocks fails later on. Every file is read in one pass; a
+    need one, as a file without blocks fails later on. A block of type `error` holds what is
+    wrong with a file that could not be read. Every file is read in one pass; a
     parser sees null for files of other formats.
     """
     routed = file_source.route_format(files).withColumn(
@@ -59,11 +61,13 @@ def parse_files(files: DataFrame, parsers: dict[str, BlockParser] | None = None)
     def only(fmt: str) -> Column:
         return F.when(F.col("format") == fmt, F.col("_text"))
 
-    staged = tabular.csv_tables(routed.withColumn("_csv", only("csv")), "_csv")
+    staged = tabular.csv_tables(routed.withColumn("_csv_text", only("csv")), "_csv_text")
     staged = staged.withColumn("_html", html_blocks(only("html")))
     media = F.col("filename")
     by_format = {
-        "csv": F.transform("tables", lambda t: _block(F.lit("table"), t, media)),
+        "csv": F.when(F.col("csv_error").isNotNull(), F.array(_block(F.lit("error"), F.col("csv_error"), media))).otherwise(
+            F.transform("tables", lambda t: _block(F.lit("table"), t, media))
+        ),
         "html": F.transform("_html", lambda b: _block(b["type"], b["content"], media)),
         "youtube": transcripts.transcript_blocks(
             transcripts.segments_from_json(F.col("_text")),
@@ -120,7 +124,11 @@ def ingest(
     mime_type, sensitive, bytes. Masked blocks are written out once, as the summary and
     the chunks both read them.
     """
-    blocks = materialise(mask_blocks(parse_files(files, parsers), replies))
+    every = materialise(mask_blocks(parse_files(files, parsers), replies))
+    unread = every.where("type = 'error'").select("document_id", F.col("content").alias("problem"))
+    uncut = files.select("document_id", chunking.strategy_error(F.col("chunking_strategy")).alias("problem"))
+    errors = unread.unionByName(uncut.where("problem IS NOT NULL"))
+    blocks = every.where("type <> 'error'")
     cut = chunking.chunk_by_strategy(blocks.drop("pii_count", "sensitive", "mime_type"), sep=sep)
     named = cut.select(
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
@@ -137,7 +145,7 @@ def ingest(
         "metadata",
     )
     chunks = materialise(embed_chunks(named, provider, dim=dim))
-    summary = lifecycle.ingest_summary(files, blocks, chunks)
+    summary = lifecycle.ingest_summary(files, blocks, chunks, errors)
     return Ingested(chunks, summary, ingest_audit(summary, files))
 
 
@@ -158,9 +166,18 @@ def ingest_audit(summary: DataFrame, files: DataFrame) -> DataFrame:
     return lifecycle.check_audit(events)
 
 
-def ingest_to_store(files: DataFrame, store: KeyedStore, **options) -> Ingested:
-    """Ingest and replace the documents that went through; failed ones keep old chunks."""
+def ingest_to_store(
+    files: DataFrame, store: KeyedStore, index: TermIndex | None = None, **options
+) -> Ingested:
+    """Ingest and replace the documents that went through; failed ones keep old chunks.
+
+    The term index, where given, is kept up with the chunks.
+    """
     result = ingest(files, **options)
+    result = Ingested(result.chunks, materialise(result.summary), result.audit)
     done = result.summary.where("status = 'completed'").select("document_id")
-    store.replace(result.chunks.join(done, "document_id", "left_semi"), done)
+    through = result.chunks.join(done, "document_id", "left_semi")
+    store.replace(through, done)
+    if index is not None:
+        index.replace(through, done)
     return result

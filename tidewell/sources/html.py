@@ -181,7 +181,15 @@ def _parse_all(html: str) -> Iterator[_Node]:
 
 @F.pandas_udf(_BLOCKS)
 def html_blocks(html: pd.Series) -> pd.Series:
-    return html.map(page_blocks)
+    """Blocks of each page; one of type `error` for a page the parser cannot read."""
+
+    def read(page):
+        try:
+            return page_blocks(page) if page is not None else None
+        except (AssertionError, ValueError) as problem:
+            return [{"type": "error", "content": f"HTML: {problem or 'malformed markup'}"}]
+
+    return html.map(read)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

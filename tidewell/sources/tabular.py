@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,30 +25,41 @@ def _rule(n: Column) -> Column:
     return _line(F.array_repeat(F.lit("---"), n))
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def _csv_rows(texts: pd.Series) -> pd.Series:
-    """Cells of each file; null when the file cannot be read as CSV."""
+_READ = T.StructType(
+    [
+        T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType()))),
+        T.StructField("error", T.StringType()),
+    ]
+)
+
+
+@F.pandas_udf(_READ)
+def _csv_rows(texts: pd.Series) -> pd.DataFrame:
+    """Cells of each file, or what keeps it from being read as CSV; null text has neither."""
+
+    csv.field_size_limit(sys.maxsize)
 
     def read(text):
+        if text is None:
+            return None, None
         try:
-            return list(csv.reader(io.StringIO(text, newline="")))
-        except (csv.Error, TypeError):
-            return None
+            return list(csv.reader(io.StringIO(text, newline=""))), None
+        except csv.Error as problem:
+            return None, f"CSV: {problem}"
 
-    return texts.map(read)
+    return pd.DataFrame([read(t) for t in texts], columns=["rows", "error"])
 
 
 def csv_tables(files: DataFrame, text: str, n: int = K.ROWS_PER_TABLE) -> DataFrame:
     """Add `tables`: one markdown table per `n` data rows of each file's text.
 
     Rows are padded or cut to the header's width. No table when the header is empty;
-    a bare header gives one table.
+    a bare header gives one table. `csv_error` says why a file could not be read.
     """
     trimmed = strip(F.regexp_replace(F.col(text), "\r\n?", "\n"))
-    rows = F.transform(
-        _csv_rows(trimmed), lambda r: F.transform(r, lambda cell: strip(cell))
-    )
-    staged = files.withColumn("_rows", rows).withColumn("_header", F.get("_rows", 0))
+    rows = F.transform("_csv.rows", lambda r: F.transform(r, lambda cell: strip(cell)))
+    staged = files.withColumn("_csv", _csv_rows(trimmed)).withColumns({"_rows": rows, "csv_error": F.col("_csv.error")})
+    staged = staged.withColumn("_header", F.get("_rows", 0))
     header, width = F.col("_header"), F.size("_header")
     groups = F.sequence(F.lit(2), F.greatest(F.size("_rows"), F.lit(2)), F.lit(n))
 
@@ -61,7 +73,7 @@ def csv_tables(files: DataFrame, text: str, n: int = K.ROWS_PER_TABLE) -> DataFr
 
     empty = header.isNull() | F.forall(header, lambda h: h == "")
     tables = F.when(empty, F.array().cast("array<string>")).otherwise(F.transform(groups, table))
-    return staged.withColumn("tables", tables).drop("_rows", "_header")
+    return staged.withColumn("tables", tables).drop("_csv", "_rows", "_header")
 
 
 def csv_to_blocks(files: DataFrame, text: str, n: int = K.ROWS_PER_TABLE) -> DataFrame:
