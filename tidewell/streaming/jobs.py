@@ -46,15 +46,15 @@ def ingest_stream(
     """Chunks of arriving files; a file delivered twice replaces its own chunks.
 
     files: a stream with the columns `ingest` takes, e.g. `stream_files` joined to the
-    document table. Of several deliveries in one batch the last by `modified` counts, any
-    of them where there is no such column.
+    document table. Of several deliveries in one batch the last by `modified` counts; where
+    there is no such column, one chosen by the hash of its bytes, so a replay chooses alike.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         if "modified" in batch.columns:
             one = latest_per_key(batch, "document_id", "modified", "modified")
         else:
-            one = batch.dropDuplicates(["document_id"])
+            one = latest_per_key(batch.withColumn("_h", F.xxhash64("bytes")), "document_id", "_h", "_h").drop("_h")
         result = ingest_to_store(one, store, **options)
         if summary_path:
             result.summary.write.mode("overwrite").parquet(f"{summary_path}/batch={number}")
@@ -81,8 +81,13 @@ def drift_stream(
         columns = ["pipeline_id", "run_id", "created_at", "unified_score"]
         fresh = batch.select(*columns)
         touched = fresh.select("pipeline_id").distinct()
-        known = state.read().select(*columns).join(touched, "pipeline_id", "left_semi")
-        both = known.unionByName(fresh).dropDuplicates(["pipeline_id", "run_id"])
+        known = state.read(touched).select(*columns)
+        # A newer delivery of a run wins; within a batch the later time, then the higher score.
+        both = known.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+        latest = F.max(F.struct("_new", "created_at", "unified_score")).alias("_l")
+        both = both.groupBy("pipeline_id", "run_id").agg(latest).select(
+            "pipeline_id", "run_id", "_l.created_at", "_l.unified_score"
+        )
         newest = [F.col("created_at").desc(), F.col("run_id").desc()]
         kept = materialise(ordered.newest(both, ["pipeline_id"], newest, n).drop("rn"))
         score_drift(kept, n).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
