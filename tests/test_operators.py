@@ -83,9 +83,9 @@ def test_tables_stay_whole_and_numbering_runs_on(spark):
     assert [r["parent_index"] for r in linked] == [0, 0, 0, 3, 4, 4, 4]
 
 
-def test_unknown_strategy_fails(spark):
-    with pytest.raises(Exception, match="unknown chunking strategy"):
-        spark.range(1).select(chunking.route_strategy(F.lit("other"))).collect()
+def test_unknown_strategy_is_named(spark):
+    row = spark.range(1).select(chunking.route_strategy(F.lit("other")), chunking.strategy_error(F.lit("other"))).first()
+    assert tuple(row) == (None, "unknown chunking strategy: other")
 
 
 def test_running_sum_across_buckets(spark):
@@ -132,9 +132,9 @@ def test_dense_paths_agree_with_brute_force(vectors):
                 near.append((round(1 - x @ y / np.linalg.norm(x) / np.linalg.norm(y), 10), b["chunk_id"]))
         want |= {(a["query_id"], cid, i + 1) for i, (_, cid) in enumerate(sorted(near)[:15])}
     by_broadcast = {(r["query_id"], r["chunk_id"], r["rnk"]) for r in dense_topk(q, c, 15).collect()}
-    by_blocks = {(r["query_id"], r["chunk_id"], r["rnk"]) for r in dense_topk(q, c, 15, max_broadcast_bytes=0).collect()}
+    by_tiles = {(r["query_id"], r["chunk_id"], r["rnk"]) for r in dense_topk(q, c, 15, tile_bytes=900).collect()}
     assert by_broadcast == want
-    assert by_blocks == want
+    assert by_tiles == want
 
 
 def test_dense_text_ids(spark):
@@ -332,3 +332,55 @@ def test_drift_stream_takes_late_scores(spark, tmp_path):
     last = spark.read.parquet(str(tmp_path / "out")).where("batch = 1").first()
     assert (last["n_scores"], last["latest"], last["drift"]) == (3, 0.8, True)
     assert last["prior_avg"] == pytest.approx(0.925)
+
+
+def test_json_containment_by_type(spark):
+    from tidewell.operators.filters import json_contains
+
+    doc = '{"n": 42, "s": "42", "f": 1.0, "z": null, "b": true, "a.b": 1, "it\'s": 2, "l": [{"k": 1, "m": 2}, "x", null], "o": {"p": {"q": "r"}}}'
+    yes = [{"n": 42}, {"n": 42.0}, {"s": "42"}, {"f": 1}, {"f": 1.0}, {"z": None}, {"b": True}, {"a.b": 1}, {"it's": 2},
+           {"l": [{"k": 1}]}, {"l": ["x", None]}, {"o": {"p": {}}}, {"o": {"p": {"q": "r"}}}, {}]
+    no = [{"n": "42"}, {"s": 42}, {"z": "null"}, {"missing": None}, {"b": "true"}, {"b": 1}, {"l": ["k"]}, {"l": [{"k": 2}]},
+          {"l": [{"k": 1, "m": 1}]}, {"o": {"p": "r"}}, {"n": [42]}, {"n": {}}]
+    df = spark.createDataFrame([(doc,), ("not json",)], "d string")
+    cols = [json_contains(F.col("d"), w).alias(f"c{i}") for i, w in enumerate(yes + no)]
+    good, broken = (tuple(r) for r in df.select(*cols).collect())
+    assert good == (True,) * len(yes) + (False,) * len(no)
+    assert broken == (False,) * (len(yes) - 1) + (True,) + (False,) * len(no)
+
+
+def test_a_top_k_column_is_not_cut(spark):
+    hits = spark.range(50).select(F.lit(1).alias("query_id"), F.col("id").alias("chunk_id"), (F.col("id") + 1).alias("rank"), F.lit(40).alias("k"))
+    scores = hits.select("query_id", "chunk_id", (-F.col("chunk_id")).cast("double").alias("relevance"))
+    assert fusion.rerank_topk(hits, scores, "k").count() == 40
+
+
+def test_running_sum_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", None), ("a", 1)], "k string, o int")
+    out = ordered.running_sum(df, ["k"], ["o"], F.lit(1), F.floor(F.col("o") / 8), "s").collect()
+    assert sorted((r["k"] or "", r["o"] or 0, r["s"]) for r in out) == [("", 1, 1), ("", 2, 2), ("a", 0, 1), ("a", 1, 2)]
+
+
+def test_failing_files_are_rows(spark):
+    files = spark.createDataFrame(
+        [
+            _file(1, "a.txt", "One text."), _file(2, "b.html", "<![foo bar]><p>x</p>"), _file(3, "c.txt", "Two.", strategy="odd"),
+            _file(4, "d.csv", "k,v\n1," + "x y " * 50_000), _file(5, "e.txt", " "),
+        ],
+        FILES,
+    )
+    from tidewell.plans.ingest import ingest
+
+    got = {r["document_id"]: (r["status"], r["error"]) for r in ingest(files, dim=8).summary.collect()}
+    assert got[1] == got[4] == ("completed", None)
+    assert got[2][0] == "failed" and got[2][1].startswith("HTML: ")
+    assert got[3] == ("failed", "unknown chunking strategy: odd")
+    assert got[5] == ("failed", "No extractable text found in document.")
+
+
+def test_positions_are_whole_unless_limits_are_asked(spark):
+    from tidewell.operators.postings import build_postings
+
+    df = spark.createDataFrame([(1, "zebra " * 300)], "chunk_id int, content string")
+    sizes = [build_postings(df, positions=True, pg_limits=p).first()["positions"] for p in (False, True)]
+    assert [len(s) for s in sizes] == [300, 256]

@@ -168,3 +168,74 @@ def test_file_stream_ingests_each_file_once(spark, tmp_path):
     streamed = sorted(r["content"] for r in store.read().collect())
     batch = sorted(r["content"] for r in ingest(described(read_files(spark, str(folder))), dim=8).chunks.collect())
     assert streamed == batch == ["Late page", "One text.", "| k | v |\n| --- | --- |\n| 1 | 2 |"]
+
+
+def test_stored_index_prunes_and_follows_documents(spark, tmp_path):
+    from tidewell.operators.postings import bm25, build_postings
+    from tidewell.plans.term_index import TermIndex
+
+    texts = ["red fish swims", "blue fish sleeps", "red bird sings", "green tree"]
+    chunks = spark.createDataFrame([(i, i, 1, t) for i, t in enumerate(texts)], "chunk_id int, document_id int, pipeline_id int, content string")
+    queries = spark.createDataFrame([(1, 1, "red fish"), (2, 1, "fish"), (3, 1, "tree"), (4, 1, "fish")], "query_id int, pipeline_id int, q string")
+    index = TermIndex(spark, str(tmp_path / "index"), buckets=64, document_buckets=4)
+
+    def ranked(source):
+        return sorted((r["query_id"], r["rnk"], r["chunk_id"], round(r["kw_score"], 9)) for r in bm25(queries, source, 10).collect())
+
+    index.replace(chunks)
+    assert ranked(index) == ranked(build_postings(chunks, keep=["pipeline_id"]))
+    changed = spark.createDataFrame([(10, 0, 1, "old tree")], chunks.schema)
+    index.replace(changed)
+    index.delete(chunks.where("document_id = 1").select("document_id"))
+    now = chunks.where("document_id > 1").unionByName(changed)
+    want = ranked(build_postings(now, keep=["pipeline_id"]))
+    assert ranked(index) == want and [w[2] for w in want if w[0] == 3] == [3, 10]
+    plan = index.lookup(queries.select("pipeline_id", F.lit("tree").alias("term")).distinct())._jdf.queryExecution().toString()
+    assert "term_bucket" in plan.split("PartitionFilters: ")[1][:80]
+    index.compact()
+    assert ranked(index) == want
+
+
+def test_store_reads_touched_buckets_only(spark, tmp_path):
+    from tidewell.plans.store import KeyedStore
+
+    df = spark.range(100).select(F.col("id").alias("document_id"), F.lit("a").alias("v"))
+    store = KeyedStore(spark, str(tmp_path / "s"), df.schema, buckets=16)
+    store.replace(df)
+    store.replace(df.where("document_id = 7").withColumn("v", F.lit("b")))
+    assert store.read().where("v = 'b'").count() == 1 and store.read().count() == 100
+    part = store.read(df.where("document_id = 7"))
+    assert [tuple(r) for r in part.collect()] == [(7, "b")]
+    assert "key_bucket" in part._jdf.queryExecution().toString().split("PartitionFilters: ")[1][:80]
+
+
+def test_newer_score_wins_in_the_drift_stream(spark, tmp_path):
+    from tidewell.plans.store import KeyedStore
+    from tidewell.streaming.jobs import drift_stream
+
+    columns = "pipeline_id string, run_id int, created_at timestamp_ntz, unified_score double"
+
+    def deliver(score):
+        rows = [("p", 1, datetime(2024, 1, 1), 0.9), ("p", 2, datetime(2024, 1, 2), score)]
+        spark.createDataFrame(rows, columns).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(columns).parquet(str(tmp_path / "in"))
+        drift_stream(stream, state, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+
+    state = KeyedStore(spark, str(tmp_path / "state"), spark.createDataFrame([], columns).schema, key="pipeline_id", buckets=2)
+    deliver(0.2)
+    deliver(0.7)
+    assert sorted((r["run_id"], r["unified_score"]) for r in state.read().collect()) == [(1, 0.9), (2, 0.7)]
+
+
+def test_runs_without_a_score_stay_in_the_outcome(spark):
+    runs = spark.createDataFrame([(1, "p", {"top_k": "5"}, "auto"), (2, "p", {"top_k": "18"}, "auto")], "run_id int, pipeline_id string, config map<string,string>, approval_mode string")
+
+    def evaluate(rows, turn):
+        return rows.where("run_id = 2").select(
+            "run_id", F.lit(0.7).alias("unified_score"), F.lit(0.9).alias("faithfulness"), F.lit(False).alias("deploy_eligible"), F.array(F.lit(K.HINT_RECALL)).alias("diagnosis")
+        )
+
+    history = spark.createDataFrame([], "pipeline_id string, run_id int, created_at timestamp_ntz, unified_score double")
+    deployments = spark.createDataFrame([], "deployment_id long, pipeline_id string, run_id int, activated_at timestamp_ntz, status string, previous_deployment long, unified_score double")
+    out = optimise.evaluate_and_decide(runs, evaluate, history, deployments)
+    assert {r["run_id"]: (r["outcome"], r["rounds"]) for r in out.runs.collect()} == {1: ("unscored", 1), 2: ("stopped", 2)}

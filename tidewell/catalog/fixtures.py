@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from tidewell import constants as K
 from tidewell.functions.text import terms
 from tidewell.session import materialise
-from tidewell.sources.tables import read_table
 
 
 _TEXTS = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    path = f"{sf}/{name}.parquet"
-    return read_table(spark, path) if name in _TEXTS else spark.read.parquet(path)
+    """A given table; texts are spread evenly, as the given files may be one row group."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in _TEXTS else df
 
 
 def sql_list(values: list[str]) -> str:
@@ -25,20 +25,21 @@ def sql_list(values: list[str]) -> str:
 
 STOPS = sql_list(K.STOP_WORDS)
 
-# Chunks: a vector and the document of the same id; the label is the pipeline.
+# Chunks: all documents, with the vector of the same id where there is one; the label, or
+# the last digit of the id, is the pipeline.
 CHUNKS = """
 chunks AS (
-  SELECT e.vec_id AS chunk_id, e.label AS pipeline_id, d.doc_id AS document_id,
+  SELECT d.doc_id AS chunk_id, CAST(coalesce(e.label, d.doc_id % 10) AS INTEGER) AS pipeline_id, d.doc_id AS document_id,
          d.text AS content, e.embedding, d.lang, d.source
-  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id
 )"""
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     e, d = table(spark, sf, "embeddings"), table(spark, sf, "documents")
-    return e.join(d, e.vec_id == d.doc_id).select(
-        F.col("vec_id").alias("chunk_id"),
-        F.col("label").alias("pipeline_id"),
+    return d.join(e, e.vec_id == d.doc_id, "left").select(
+        F.col("doc_id").alias("chunk_id"),
+        F.coalesce("label", F.col("doc_id") % 10).cast("int").alias("pipeline_id"),
         F.col("doc_id").alias("document_id"),
         F.col("text").alias("content"),
         "embedding",
@@ -48,34 +49,50 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# Queries: one per chunk; its vector, and the two longest terms of its whole text.
-QUERY_TEXT = """
+# Queries: one per chunk; its vector, and of its text the longest term, mostly a rare one,
+# with the shortest, mostly a frequent one. Every third query asks for the shortest alone.
+QUERY_TEXT = f"""
 query_text AS (
   SELECT chunk_id AS query_id, pipeline_id, embedding AS q_embedding,
-         list_transform(list_sort(list_transform(list_distinct(
-           regexp_extract_all(lower(content), '[\\p{L}\\p{Nd}]+')),
-           lambda t: {'n': -length(t), 't': t})), lambda s: s.t)[1:2] AS qterms
-  FROM chunks
+         CASE WHEN len(t) = 0 THEN [] WHEN chunk_id % 3 = 0 OR len(t) = 1 THEN [t[1]] ELSE [t[-1], t[1]] END AS qterms
+  FROM (
+    SELECT chunk_id, pipeline_id, embedding, list_transform(list_sort(list_transform(list_filter(list_distinct(
+             regexp_extract_all(lower(content), '[\\p{{L}}\\p{{Nd}}]+')), lambda t: length(t) > 1 AND t NOT IN ({STOPS})),
+             lambda t: {{'n': length(t), 't': t}})), lambda s: s.t) AS t
+    FROM chunks)
 )"""
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = F.array_sort(
-        F.transform(
-            F.array_distinct(terms(F.col("content"))),
-            lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")),
-        )
+    usable = F.filter(
+        F.array_distinct(terms(F.col("content"))), lambda t: (F.length(t) > 1) & ~t.isin(*K.STOP_WORDS)
     )
-    longest = F.transform(F.slice(ranked, 1, 2), lambda s: s["t"])
-    asked = chunks(spark, sf).select(
+    ranked = F.array_sort(F.transform(usable, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
+    shortest, longest = F.get("_r", 0)["t"], F.get("_r", F.size("_r") - 1)["t"]
+    one = (F.col("chunk_id") % 3 == 0) | (F.size("_r") == 1)
+    asked = chunks(spark, sf).withColumn("_r", ranked).select(
         F.col("chunk_id").alias("query_id"),
         "pipeline_id",
-        F.array_join(longest, " ").alias("q"),
+        F.when(F.size("_r") == 0, "").when(one, shortest).otherwise(F.concat_ws(" ", longest, shortest)).alias("q"),
         F.col("embedding").alias("q_embedding"),
     )
     return materialise(asked)
 
 
+# Passages of the benchmark, asked of every pipeline.
+PASSAGES = """
+query_text AS (
+  SELECT item_id * 10 + p AS query_id, CAST(p AS INTEGER) AS pipeline_id,
+         list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+')) AS qterms
+  FROM benchmark, range(10) r(p)
+)"""
+
+
+def passages(spark: SparkSession, sf: str) -> DataFrame:
+    dealt = table(spark, sf, "benchmark").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    return dealt.select((F.col("item_id") * 10 + F.col("p")).alias("query_id"), F.col("p").alias("pipeline_id"), F.col("text").alias("q"))
+
+
 # Rankings: the parts of an order by line number; expected are the returned ones.
 RANKINGS = """
 firsts AS (

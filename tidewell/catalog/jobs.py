@@ -221,7 +221,7 @@ def optimised_runs(spark, sf):
             columns.diagnose(F.col("retrieval"), F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("diagnosis"),
         )
 
-    out = optimise.evaluate_and_decide(runs, evaluate, fx.evaluations(spark, sf), fx.deployments(spark, sf))
+    out = optimise.evaluate_and_decide(runs, evaluate, fx.evaluations(spark, sf), fx.deployments(spark, sf), max_rounds=3)
     return out.runs.select("run_id", "step", "rounds", "outcome", F.round("unified_score", 9).alias("unified_score"))
 
 
@@ -254,7 +254,7 @@ def streamed_drift(spark, sf):
     rows = fx.evaluations(spark, sf)
     for status in ("F", "O", "P"):
         part = rows.where(F.col("o_orderstatus") == status).select(*columns)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        part.write.mode("append").parquet(f"{base}/in")
     stream = (
         spark.readStream.schema(rows.select(*columns).schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewell.catalog import fixtures as fx
@@ -10,7 +12,8 @@ from tidewell.functions import vectors
 from tidewell.functions.scoring import effective_score
 from tidewell.operators import dense, filters, fusion, postings
 from tidewell.operators.ranking import count_per_pipeline
-from tidewell.session import materialise
+from tidewell.plans.term_index import TermIndex
+from tidewell.session import ensure_checkpoint_dir, materialise
 
 
 @query("scan_chunks", "SELECT vec_id AS chunk_id, label AS pipeline_id FROM embeddings WHERE label = 3")
@@ -92,6 +95,7 @@ pairs AS (
   SELECT q.query_id, c.chunk_id,
          round(list_cosine_distance(q.q_embedding::DOUBLE[], c.embedding::DOUBLE[]), 10) AS distance
   FROM query_text q JOIN {cands} c USING (pipeline_id)
+  WHERE q.q_embedding IS NOT NULL AND c.embedding IS NOT NULL
 ),
 dense AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rnk
@@ -188,6 +192,40 @@ def bm25_topk(spark, sf):
     return top.withColumn("kw_score", F.round("kw_score", 6))
 
 
+@query(
+    "passage_topk",
+    "WITH " + fx.CHUNKS + "," + fx.PASSAGES + "," + _keyword_sql(_BM25)
+    + " SELECT query_id, chunk_id, round(kw_score, 6) AS kw_score, CAST(rnk AS INTEGER) AS rnk FROM keyword",
+)
+def passage_topk(spark, sf):
+    """Documents that hold all terms of a benchmark passage."""
+    top = postings.bm25(fx.passages(spark, sf), _postings(spark, sf), 40)
+    return top.withColumn("kw_score", F.round("kw_score", 6))
+
+
+_LIVE = """,
+live AS (
+  SELECT chunk_id, pipeline_id, CASE WHEN document_id % 7 = 0 THEN lang || ' ' || source ELSE content END AS content
+  FROM chunks WHERE document_id % 11 <> 0
+)"""
+
+
+@query(
+    "indexed_topk",
+    "WITH " + fx.CHUNKS + "," + fx.QUERY_TEXT + _LIVE + "," + _keyword_sql(_BM25, "live")
+    + " SELECT query_id, chunk_id, round(kw_score, 6) AS kw_score, CAST(rnk AS INTEGER) AS rnk FROM keyword",
+)
+def indexed_topk(spark, sf):
+    """A stored index after documents were replaced and deleted."""
+    ensure_checkpoint_dir(spark)
+    index = TermIndex(spark, f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}", buckets=16, document_buckets=8)
+    chunk = fx.chunks(spark, sf)
+    index.replace(chunk)
+    index.replace(chunk.where("document_id % 7 = 0").withColumn("content", F.concat_ws(" ", "lang", "source")))
+    index.delete(chunk.where("document_id % 11 = 0").select("document_id"))
+    return postings.bm25(fx.queries(spark, sf), index, 40).withColumn("kw_score", F.round("kw_score", 6))
+
+
 @query(
     "ts_rank_topk",
     "WITH " + fx.CHUNKS + "," + fx.QUERY_TEXT + """,
@@ -221,7 +259,7 @@ SELECT query_id, chunk_id, round(kw_score, 6) AS kw_score, CAST(rnk AS INTEGER)
     ),
 )
 def ts_rank_topk(spark, sf):
-    index = materialise(postings.build_postings(fx.chunks(spark, sf), keep=["pipeline_id"], positions=True))
+    index = materialise(postings.build_postings(fx.chunks(spark, sf), keep=["pipeline_id"], positions=True, pg_limits=True))
     top = postings.keyword_topk(fx.queries(spark, sf), index, 40, scorer="ts_rank")
     return top.withColumn("kw_score", F.round("kw_score", 6))
 
@@ -288,7 +326,8 @@ _EN = "english AS (SELECT * FROM chunks WHERE lang = 'en')"
 @query(
     "hybrid_search_filtered",
     "WITH " + _DENSE.replace("{cands}", "english").replace(fx.CHUNKS, fx.CHUNKS + ", " + _EN)
-    + "," + _keyword_sql(_BM25, "english") + "," + _HYBRID + _HYBRID_OUT,
+    + "," + _keyword_sql(_BM25).replace("WHERE m = n_q", "WHERE m = n_q AND chunk_id IN (SELECT chunk_id FROM english)")
+    + "," + _HYBRID + _HYBRID_OUT,
 )
 def hybrid_search_filtered(spark, sf):
     hits = fusion.hybrid_search(
@@ -314,8 +353,9 @@ def rrf_three_lists(spark, sf):
 
     base = fx.rankings(spark, sf)
     by_rank = base.withColumnRenamed("rank", "rnk")
-    by_score = ordered.newest(base, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], 1000, "rnk")
-    by_id = ordered.newest(base, ["query_id"], [F.col("chunk_id")], 1000, "rnk")
+    down = base.withColumn("down", -F.col("score"))
+    by_score = ordered.row_number(down, ["query_id"], ["down", "chunk_id"], F.floor(F.col("down") * 100), "rnk")
+    by_id = ordered.row_number(base, ["query_id"], ["chunk_id"], F.floor(F.col("chunk_id") / ordered.BUCKET_ROWS), "rnk")
     return fusion.rrf([by_rank, by_score, by_id]).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
