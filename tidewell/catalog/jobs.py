@@ -131,8 +131,10 @@ def search_sources(spark, sf):
     "search_contexts",
     _HITS + f""",
 scored AS (
-  SELECT query_id, h.chunk_id, content AS text, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, rank, h.chunk_id) AS r
-  FROM hits h JOIN labels l ON l.doc_id = h.chunk_id JOIN chunks c ON c.chunk_id = h.chunk_id
+  SELECT query_id, chunk_id, text, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(quality, 0) DESC, rank, chunk_id) AS r
+  FROM (SELECT query_id, h.chunk_id, rank, content AS text, quality, count(quality) OVER (PARTITION BY query_id) AS n
+        FROM hits h LEFT JOIN labels l ON l.doc_id = h.chunk_id JOIN chunks c ON c.chunk_id = h.chunk_id)
+  WHERE quality IS NOT NULL OR n = 0
 )
 SELECT query_id, md5(string_agg('[' || r || '] ' || {texts._NORMAL}, chr(10) || chr(10) ORDER BY r)) AS context_md5
 FROM scored WHERE r <= 5 GROUP BY 1""",
@@ -154,8 +156,8 @@ def search_contexts(spark, sf):
     "search_log",
     _HITS + """
 SELECT q.query_id, q.pipeline_id, sha256(array_to_string(qterms, ' ')) AS query_hash, false AS rewrite_applied, false AS hyde_applied,
-       false AS compression_applied, CAST(5 AS INTEGER) AS retrieval_k, count(*) AS chunks_retrieved, true AS rerank_applied
-FROM query_text q JOIN hits h USING (query_id) GROUP BY 1, 2, 3""",
+       false AS compression_applied, CAST(5 AS INTEGER) AS retrieval_k, count(h.chunk_id) AS chunks_retrieved, count(h.chunk_id) > 0 AS rerank_applied
+FROM query_text q LEFT JOIN hits h USING (query_id) GROUP BY 1, 2, 3""",
 )
 def search_log(spark, sf):
     return search.search_batch(_queries(spark, sf), corpus(spark, sf)).logs
