@@ -226,9 +226,13 @@ def indexed_topk(spark, sf):
     return postings.bm25(fx.queries(spark, sf), index, 40).withColumn("kw_score", F.round("kw_score", 6))
 
 
-@query(
-    "ts_rank_topk",
-    "WITH " + fx.CHUNKS + "," + fx.QUERY_TEXT + """,
+def _positions(spark, sf):
+    """Stored term index with positions, at the limits of the text index it reproduces."""
+    built = postings.build_postings(fx.chunks(spark, sf), keep=["pipeline_id"], positions=True, pg_limits=True)
+    return materialise(built)
+
+
+_TS_RANK = """
 tokens AS (
   SELECT chunk_id, pipeline_id, unnest(t) AS term, least(generate_subscripts(t, 1), 16383) AS pos
   FROM (SELECT chunk_id, pipeline_id, regexp_extract_all(lower(content), '[\\p{L}\\p{Nd}]+') AS t FROM chunks)
@@ -252,15 +256,19 @@ scored AS (
         CASE WHEN abs(p - q) BETWEEN 1 AND 100
              THEN ln(1 - 0.1::DOUBLE * sqrt(1 / (1.005 + 0.05 * exp(abs(p - q) / 1.5::DOUBLE - 2)))) ELSE 0 END))))) END, 9) AS kw_score
   FROM both_terms
-)
-SELECT query_id, chunk_id, round(kw_score, 6) AS kw_score, CAST(rnk AS INTEGER) AS rnk FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_score DESC, chunk_id) AS rnk FROM scored) WHERE rnk <= 40""".replace(
-        "{stops}", fx.STOPS
-    ),
+),
+keyword AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_score DESC, chunk_id) AS rnk FROM scored) WHERE rnk <= 40
+)""".replace("{stops}", fx.STOPS)
+
+
+@query(
+    "ts_rank_topk",
+    "WITH " + fx.CHUNKS + "," + fx.QUERY_TEXT + "," + _TS_RANK
+    + " SELECT query_id, chunk_id, round(kw_score, 6) AS kw_score, CAST(rnk AS INTEGER) AS rnk FROM keyword",
 )
 def ts_rank_topk(spark, sf):
-    index = materialise(postings.build_postings(fx.chunks(spark, sf), keep=["pipeline_id"], positions=True, pg_limits=True))
-    top = postings.keyword_topk(fx.queries(spark, sf), index, 40, scorer="ts_rank")
+    top = postings.keyword_topk(fx.queries(spark, sf), _positions(spark, sf), 40, scorer="ts_rank")
     return top.withColumn("kw_score", F.round("kw_score", 6))
 
 
@@ -320,6 +328,16 @@ def hybrid_search(spark, sf):
     return _hybrid_out(hits)
 
 
+@query(
+    "hybrid_text_rank",
+    "WITH " + _DENSE.replace("{cands}", "chunks") + "," + _TS_RANK + "," + _HYBRID + _HYBRID_OUT,
+)
+def hybrid_text_rank(spark, sf):
+    """Vectors fused with the positional text rank."""
+    hits = fusion.hybrid_search(fx.queries(spark, sf), fx.chunks(spark, sf), _positions(spark, sf), scorer="ts_rank")
+    return _hybrid_out(hits)
+
+
 _EN = "english AS (SELECT * FROM chunks WHERE lang = 'en')"
 
 
