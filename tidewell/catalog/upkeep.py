@@ -483,14 +483,14 @@ def deployable_runs(spark, sf):
     "activity_feed",
     """
 WITH p AS (SELECT 'pipeline' AS kind, c_custkey AS id, c_mktsegment AS status, CAST(0 AS INTEGER) AS part,
-                  row_number() OVER (ORDER BY c_acctbal DESC, c_custkey DESC) AS at_ FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9900),
+                  row_number() OVER (ORDER BY c_acctbal DESC, c_custkey DESC) AS at_ FROM customer WHERE c_mktsegment = 'BUILDING'),
 d AS (SELECT 'document', o_orderkey, o_orderstatus, 1, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders),
 r AS (SELECT 'evaluation', l_orderkey, l_returnflag, 2, row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey DESC) AS k FROM lineitem),
 every AS (SELECT * FROM p UNION ALL SELECT * FROM d WHERE k <= 5 UNION ALL SELECT * FROM r WHERE k <= 5)
 SELECT kind, id, status, part, CAST(at_ AS INTEGER) AS "at" FROM every ORDER BY part, at_ LIMIT 6""",
 )
 def activity_feed(spark, sf):
-    pipelines = fx.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING' AND c_acctbal > 9900").select(
+    pipelines = fx.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(
         F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"), F.col("c_acctbal").alias("created_at")
     )
     documents = fx.table(spark, sf, "orders").select(
