@@ -81,7 +81,12 @@ def ingested_chunks(spark, sf):
     return chunks.select("document_id", "chunk_index", "token_count", "chunk_strategy", F.size("embedding").alias("dim"))
 
 
-@query("embedded_documents")
+@query(
+    "embedded_documents",
+    r"""
+SELECT doc_id, CAST(64 AS INTEGER) AS dim, CASE WHEN len(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length
+FROM documents""",
+)
 def embedded_documents(spark, sf):
     docs = fx.table(spark, sf, "documents").withColumnRenamed("text", "content")
     vectors = embed_chunks(docs, dim=64)
