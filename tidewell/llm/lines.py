@@ -37,6 +37,27 @@ _NONE = np.uint32(0xFFFFFFFF)
 _CELLS = 1 << 22
 
 
+def shingle_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of the given stretches, and the stretch of each, in order.
+
+    A stretch shorter than a shingle is one shingle.
+    """
+    rolling = Rolling(points)
+    grams = rolling.grams(SHINGLE)
+    mark = np.zeros(len(grams) + 1, np.int32)
+    long = np.flatnonzero(ends - starts >= SHINGLE)
+    np.add.at(mark, starts[long], 1)
+    np.add.at(mark, ends[long] - SHINGLE + 1, -1)
+    inside = np.cumsum(mark[:-1]) > 0
+    line = np.repeat(long, (ends - starts)[long] - SHINGLE + 1)
+    short = np.flatnonzero(ends - starts < SHINGLE)
+    if not len(short):
+        return grams[inside], line
+    hashes, line = np.concatenate([grams[inside], rolling.span(starts[short], ends[short])]), np.concatenate([line, short])
+    order = np.argsort(line, kind="stable")
+    return hashes[order], line[order]
+
+
 class Lines:
     """Lines with a word in a block of texts: row, number in the row, key, code points."""
 
@@ -65,11 +86,7 @@ class Lines:
     def bands(self) -> np.ndarray:
         """Band hashes, one row of BANDS per line."""
         n = len(self.starts)
-        width = np.minimum(self.ends - self.starts, SHINGLE)
-        count = self.ends - self.starts - width + 1
-        line = np.repeat(np.arange(n), count)
-        at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count - self.starts, count)
-        hashes = Rolling(self.points, 0).span(at, at + width[line])
+        hashes, line = shingle_hashes(self.points, self.starts, self.ends)
         bin_ = ((hashes >> np.uint64(32)) * np.uint64(_BINS)) >> np.uint64(32)
         value = (hashes & np.uint64(0xFFFFFFFE)).astype(np.uint32)
         least = np.full(n * _BINS, _NONE, np.uint32)
@@ -119,19 +136,21 @@ def _distinct(docs: pa.Table) -> Iterator[tuple[Lines, np.ndarray]]:
         yield found, new
 
 
-def _signed(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes and line numbers (in order of first sight) of a unit, sorted by hash."""
-    bands = [found.bands()[new] for found, new in _distinct(docs)]
-    bands = np.concatenate(bands) if bands else np.zeros((0, BANDS), np.uint64)
+def _signed(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band hashes and line numbers (in order of first sight) of a unit, sorted by hash; the
+    low bits of each line's key."""
+    bands, keys = [np.zeros((0, BANDS), np.uint64)], [np.zeros(0, np.uint64)]
+    for found, new in _distinct(docs):
+        bands.append(found.bands()[new])
+        keys.append(found.key[new])
+    bands = np.concatenate(bands)
     line = np.repeat(np.arange(len(bands)), BANDS)
-    order = np.lexsort((line, bands.ravel()))
-    return bands.ravel()[order], line[order]
+    order = np.argsort(bands.ravel(), kind="stable")
+    return bands.ravel()[order], line[order], np.concatenate(keys).astype(np.uint32)
 
 
 def _ask(docs: pa.Table, replies: Replies) -> Ask:
-    bands, line = _signed(docs)
-    keys = [found.key[new] for found, new in _distinct(docs)]
-    short = np.concatenate(keys).astype(np.uint32) if keys else np.zeros(0, np.uint32)
+    bands, line, short = _signed(docs)
     low = np.ascontiguousarray(bands).view(np.uint8).reshape(-1, 8)[:, :5].copy().view("V5").ravel()
     return Ask(bands, [low, short[line]])
 
@@ -157,7 +176,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     units.ask(_ask, ["V5", np.uint32], _answer)
 
     def work(docs: pa.Table, replies: Replies) -> pa.Table:
-        bands, line = _signed(docs)
+        bands, line, _ = _signed(docs)
         yes = np.flatnonzero(replies[0]) if 0 in replies else np.zeros(0, np.int64)
         order = yes[np.argsort(line[yes], kind="stable")]
         wanted, first = np.unique(line[order], return_index=True)
@@ -175,36 +194,56 @@ def candidates(docs: DataFrame) -> DataFrame:
     return units.run(work, "key binary, text string, bands array<long>")
 
 
-def shingles(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    width = min(len(points), SHINGLE)
-    return np.unique(Rolling(points).grams(width)) if width else np.zeros(0, np.uint64)
-
-
-def similar(texts: list[str], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a bounded group of lines with that Jaccard similarity of shingles or more."""
-    sets = [shingles(t) for t in texts]
-    sizes = np.array([len(s) for s in sets])
-    n = len(sets)
-    if n == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        yes = both >= similarity * (sizes.sum() - both)
-        return (np.array([1]), np.array([0])) if yes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), sizes)
-    common = count[column] > 1
-    row, column = row[common], np.unique(column[common], return_inverse=True)[1]
-    both = np.zeros((n, n), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    step = max(1, _CELLS // n)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        i, j = np.searchsorted(column, [low, low + step])
-        part = np.zeros((n, step), np.float32)
-        part[row[i:j], column[i:j] - low] = 1
-        both += part @ part.T
-    a, b = np.nonzero(np.tril(both >= similarity * (sizes[:, None] + sizes[None, :] - both), -1))
-    return a, b
+def similar_pairs(texts: pa.Array, group: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) that link the similar texts of each group; `group` is ascending.
+
+    Groups of two are compared all at once. In a larger one, of bounded size, the shared
+    shingles of all pairs are counted by a product of its 0/1 matrix with itself.
+    """
+    data, offsets = flat(texts)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    cuts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    hashes, row = shingle_hashes(points, cuts[:-1], cuts[1:])
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(first, len(group)))
+    order = np.repeat(np.arange(len(first)), size)
+
+    two = size[order[row]] == 2
+    h, r = hashes[two], row[two]
+    g = order[r]
+    key = mix(h + g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    by = np.argsort(key)
+    key, side, g = key[by], (r - first[g])[by], g[by]
+    runs_ = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    a, b = [], []
+    if len(runs_):
+        low, high = np.minimum.reduceat(side, runs_), np.maximum.reduceat(side, runs_)
+        both = np.bincount(g[runs_], low != high, len(first))
+        every = np.bincount(g[runs_], minlength=len(first))
+        close = np.flatnonzero((size == 2) & (both >= similarity * every))
+        a, b = [first[close] + 1], [first[close]]
+
+    ends = np.searchsorted(row, np.append(first, len(group)))
+    for i in np.flatnonzero(size > 2).tolist():
+        n, part = int(size[i]), slice(ends[i], ends[i + 1])
+        kinds, column = np.unique(hashes[part], return_inverse=True)
+        cell = np.unique((row[part] - first[i]) * len(kinds) + column)
+        who, column = cell // len(kinds), cell % len(kinds)
+        sizes = np.bincount(who, minlength=n)
+        common = np.bincount(column, minlength=len(kinds)) > 1
+        who, column = who[common[column]], (np.cumsum(common) - 1)[column[common[column]]]
+        shared, wide = np.zeros((n, n), np.float32), max(1, _CELLS // n)
+        for low in range(0, int(common.sum()), wide):
+            here = (column >= low) & (column < low + wide)
+            matrix = np.zeros((n, min(wide, int(common.sum()) - low)), np.float32)
+            matrix[who[here], column[here] - low] = 1
+            shared += matrix @ matrix.T
+        x, y = np.nonzero(np.tril(shared >= similarity * (sizes[:, None] + sizes[None, :] - shared), -1))
+        root = roots(n, x, y)
+        tied = np.flatnonzero(root != np.arange(n))
+        a.append(first[i] + tied)
+        b.append(first[i] + root[tied])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def links(lines: DataFrame, group: int = GROUP) -> DataFrame:
@@ -218,27 +257,27 @@ def links(lines: DataFrame, group: int = GROUP) -> DataFrame:
     leads = once.where(parts > 1).select("band", F.col("lead").alias("key"), F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"))
     placed = placed.unionByName(leads).distinct()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema({"a": pa.binary(), "b": pa.binary()})
-        held: list[tuple] = []
-
-        def close() -> tuple[list, list]:
-            keys = [k for *_, k, _ in held]
-            x, y = similar([t for *_, t in held]) if len(held) > 1 else (np.zeros(0, int), np.zeros(0, int))
-            root = roots(len(keys), x, y)
-            tied = [i for i in range(len(keys)) if root[i] != i]
-            return [keys[i] for i in tied], [keys[root[i]] for i in tied]
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        band, part = rows.column("band").to_numpy(), rows.column("part").to_numpy()
+        new = np.concatenate([[True], (band[1:] != band[:-1]) | (part[1:] != part[:-1])])
+        a, b = similar_pairs(rows.column("text").combine_chunks(), np.cumsum(new))
+        keys = rows.column("key").combine_chunks()
+        return pa.record_batch([keys.take(pa.array(a)), keys.take(pa.array(b))], names=["a", "b"])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            a, b = [], []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("band", "part", "key", "text")), strict=True):
-                if held and held[-1][:2] != row[:2]:
-                    x, y = close()
-                    a, b, held = a + x, b + y, []
-                held.append(row)
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
-        if held:
-            yield pa.record_batch([pa.array(x, pa.binary()) for x in close()], schema=schema)
+            for block in blocks([batch], "text"):
+                rows = pa.Table.from_batches([block])
+                rows = rows if held is None else pa.concat_tables([held, rows])
+                band, part = rows.column("band").to_numpy(), rows.column("part").to_numpy()
+                # The last group may go on in the next block.
+                end = int(np.flatnonzero((band == band[-1]) & (part == part[-1]))[0])
+                held = rows.slice(end)
+                if end:
+                    yield compare(rows.slice(0, end))
+        if held is not None:
+            yield compare(held)
 
     together = placed.join(lines.select("key", "text"), "key").repartition("band", "part").sortWithinPartitions("band", "part", "key")
     return together.select("band", "part", "key", "text").mapInArrow(work, "a binary, b binary")
