@@ -27,7 +27,7 @@ from tidewell.session import prepare
 #: A unit has between these bytes of text, growing with the root of the corpus.
 UNIT_BYTES = (4 << 20, 128 << 20)
 #: Bytes of packed pieces in one bucket.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 6 << 20
 
 SENT = "bucket int, unit long, body binary, lengths binary"
 REPLY = "unit long, step int, bucket int, body binary"
@@ -67,7 +67,7 @@ class Units:
         prepare(docs.sparkSession)
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        size = min(max(256 * int(total**0.5), UNIT_BYTES[0]), UNIT_BYTES[1])
+        size = min(max(128 * int(total**0.5), UNIT_BYTES[0]), UNIT_BYTES[1])
         self.units = max(1, -(-total // size))
         self.bits = max(0, int(np.ceil(np.log2(max(1.0, total * piece_bytes / BUCKET_BYTES)))))
         unit = F.pmod(F.xxhash64("doc_id"), F.lit(self.units)).alias("unit")
@@ -78,12 +78,18 @@ class Units:
     def run(self, work: Callable[[Documents, Replies], pa.Table], schema: str) -> DataFrame:
         """`work` over every unit with all replies it has had."""
         grouped = self.docs.groupBy("unit")
-        if self.replies is None:
-            return grouped.applyInArrow(lambda t: work(_frame(t), {}), schema)
+
+        def alone(docs: pa.Table) -> pa.Table:
+            pa.default_memory_pool().release_unused()  # two workers share an executor's memory
+            return work(_frame(docs), {})
 
         def both(docs: pa.Table, replies: pa.Table) -> pa.Table:
+            pa.default_memory_pool().release_unused()
             return work(_frame(docs), _replies(replies) if replies.num_rows else {})
 
+        if self.replies is None:
+            return grouped.applyInArrow(alone, schema)
+
         return grouped.cogroup(self.replies.groupBy("unit")).applyInArrow(both, schema)
 
     def ask(self, emit: Callable[[Documents, Replies], Ask], dtypes: list, answer: Callable[[list[Ask]], Iterable[np.ndarray]]) -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewell.llm.exchange import Ask, Replies, Units
-from tidewell.llm.textkit import BLOCK_BYTES, Rolling, cover
+from tidewell.llm.textkit import BLOCK_BYTES, Rolling, cover, mix
 
 BEATEN, WANTED = np.uint8(1), np.uint8(2)
 
@@ -85,7 +85,7 @@ def _block(seq: Sequences, low: int, high: int, length: int, gram: int) -> Segme
     end[:-1] = start[1:] | ~good[1:]
     last = np.flatnonzero(end & good)
     at = at[first]
-    anchor = grams[at]
+    anchor = mix(grams[at])  # least hashes are small ones; mixed again they spread over the buckets
     whole = Rolling(values, 1).span(first, last + length) ^ (at - first).astype(np.uint64)
     return Segments(anchor, whole, doc[first], at + base, first + base, last + base)
 

@@ -72,7 +72,7 @@ def fingerprints_of(text: pa.Array) -> np.ndarray:
 
 @F.arrow_udf(LongType())
 def _fingerprint(text: pa.Array) -> pa.Array:
-    parts = [fingerprints_of(b.column(0)) for b in blocks([pa.record_batch([text], names=["text"])], "text", 1 << 20)]
+    parts = [fingerprints_of(b.column(0)) for b in blocks([pa.record_batch([text], names=["text"])], "text")]
     return pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64), pa.int64())
 
 

@@ -1,6 +1,6 @@
 """Array helpers for work on texts inside Arrow tasks.
 
-A block is a few megabytes of whole documents laid end to end as UTF-8 bytes. Words, lines
+A block is half a megabyte of whole documents laid end to end as UTF-8 bytes. Words, lines
 and hashes of a block are found with numpy; no helper ever looks across two documents
 unless its caller asks for positions of the block as a whole.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of bytes other than space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
