@@ -85,6 +85,31 @@ def test_near_lines(spark, docs_of, monkeypatch, group):
     assert lines.keep_first(df.limit(0)).collect() == []
 
 
+def linked(rows):
+    """The set of components (as frozensets of ids) that links span."""
+    ids = sorted({k for r in rows for k in r})
+    at = {k: i for i, k in enumerate(ids)}
+    root, out = groups(len(ids), [(at[a], at[b]) for a, b in rows]), {}
+    for k in ids:
+        out.setdefault(root[at[k]], set()).add(k)
+    return {frozenset(s) for s in out.values()}
+
+
+def test_parts_of_a_large_bucket_meet(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(30):
+        line = "".join(rng.choices("abcdefgh ", k=120))
+        texts += [line, line[:-1] + "Q"]
+    rows = [(i.to_bytes(16, "big"), t, [7, 8] if i % 3 else [7]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "key binary, text string, bands array<long>")
+    sets = [grams(t) for t in texts]
+    close = [(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = [tuple(int.from_bytes(k, "big") for k in r) for r in lines.links(df, group=4).collect()]
+    assert linked(got) == linked(close) and len(close) == 30
+    assert linked(got) == linked([tuple(int.from_bytes(k, "big") for k in r) for r in lines.links(df, group=512).collect()])
+
+
 def test_null_ids(spark, docs_of):
     df = docs_of(["same line here", "same line here"]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
     rows = {r["doc_id"]: r["text"] for r in lines.keep_first(df).collect()}

@@ -8,8 +8,8 @@ Union-find joins the links, and each component keeps its first line by (doc_id,
 
 Ten bands of four rows find a pair at 0.8 with probability 0.995, at 0.9 with 0.9999.
 Buckets with the same members are compared once; a bucket of more than GROUP lines is cut
-into parts by hash, each of which also holds the first line of the bucket, so that parts
-join through it.
+into parts of GROUP / 2 by hash, and every two parts meet in a cell of their own, so that all
+its pairs are compared. A cell gives a spanning forest of its links.
 
 Edge cases. Null text: no lines. Lines shorter than a shingle are one shingle. Repeated rows
 and ids: lines of rows that share an id count as lines of one document, equal ones in the
@@ -252,10 +252,12 @@ def links(lines: DataFrame, group: int = GROUP) -> DataFrame:
     mark = F.xxhash64("key")
     buckets = rows.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("members"), F.min("key").alias("lead")).where("n > 1")
     once = buckets.groupBy("n", "members", "lead").agg(F.min("band").alias("band"))
-    parts = F.ceil(F.col("n") / group)
-    placed = rows.join(once, "band").select("band", "key", F.pmod(mark, parts).cast("int").alias("part"))
-    leads = once.where(parts > 1).select("band", F.col("lead").alias("key"), F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"))
-    placed = placed.unionByName(leads).distinct()
+    # A line goes to the cells of its part with every other part; of one part is one cell.
+    parts = F.when(F.col("n") > group, F.ceil(F.col("n") * 2 / group)).otherwise(F.lit(1)).cast("long")
+    own = rows.join(once, "band").select("band", "key", parts.alias("parts"), F.pmod(mark, parts).alias("own"))
+    others = own.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    cell = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
+    placed = others.where("parts = 1 OR own <> other").select("band", "key", cell.alias("part"))
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         band, part = rows.column("band").to_numpy(), rows.column("part").to_numpy()
