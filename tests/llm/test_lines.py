@@ -110,6 +110,23 @@ def test_parts_of_a_large_bucket_meet(spark):
     assert linked(got) == linked([tuple(int.from_bytes(k, "big") for k in r) for r in lines.links(df, group=512).collect()])
 
 
+def test_group_is_read_when_called(spark, monkeypatch):
+    """Split buckets link every close pair without tolerance; the cells repeat links."""
+    monkeypatch.setattr(lines, "GROUP", 4)
+    rng = random.Random(13)
+    hot = "".join(rng.choices("abcdefgh ", k=200))
+    texts = [hot[:i] + "Q" + hot[i + 1 :] for i in range(10, 50)]
+    single = ["".join(rng.choices("ijklmn ", k=90)) for _ in range(15)]
+    texts += single + [t + "Q" for t in single]
+    rows = [(i.to_bytes(16, "big"), t, [7]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "key binary, text string, bands array<long>")
+    sets = [grams(t) for t in texts]
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = [tuple(int.from_bytes(k, "big") for k in r) for r in lines.links(df).collect()]
+    assert linked(got) == linked(close)
+    assert len(got) > 39 + 15  # more than one forest of the whole bucket
+
+
 def test_null_ids(spark, docs_of):
     df = docs_of(["same line here", "same line here"]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
     rows = {r["doc_id"]: r["text"] for r in lines.keep_first(df).collect()}

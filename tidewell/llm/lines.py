@@ -246,8 +246,10 @@ def similar_pairs(texts: pa.Array, group: np.ndarray, similarity: float = SIMILA
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def links(lines: DataFrame, group: int = GROUP) -> DataFrame:
-    """(a, b) over keys: a spanning forest of the similar lines of every bucket."""
+def links(lines: DataFrame, group: int | None = None) -> DataFrame:
+    """(a, b) over keys: a spanning forest of the similar lines of every bucket; buckets of
+    more than `group` (GROUP) lines are cut."""
+    group = GROUP if group is None else group
     rows = lines.select("key", F.explode("bands").alias("band"))
     mark = F.xxhash64("key")
     buckets = rows.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("members"), F.min("key").alias("lead")).where("n > 1")
