@@ -239,3 +239,19 @@ def test_runs_without_a_score_stay_in_the_outcome(spark):
     deployments = spark.createDataFrame([], "deployment_id long, pipeline_id string, run_id int, activated_at timestamp_ntz, status string, previous_deployment long, unified_score double")
     out = optimise.evaluate_and_decide(runs, evaluate, history, deployments)
     assert {r["run_id"]: (r["outcome"], r["rounds"]) for r in out.runs.collect()} == {1: ("unscored", 1), 2: ("stopped", 2)}
+
+
+def test_optimised_runs_go_on_to_the_fixed_point(spark, monkeypatch):
+    from tidewell.catalog import jobs
+
+    seen, decide = [], optimise.evaluate_and_decide
+
+    def kept(*args, **kwargs):
+        seen.append(decide(*args, **kwargs))
+        return seen[-1]
+
+    monkeypatch.setattr(jobs.optimise, "evaluate_and_decide", kept)
+    jobs.optimised_runs(spark, "/root/testdata/sf0.001")
+    rows = seen[0].runs.select("run_id", "rounds", "outcome", "config").collect()
+    assert len({r["run_id"] for r in rows}) == len(rows) and max(r["rounds"] for r in rows) > 3
+    assert {r["config"]["top_k"] for r in rows if r["outcome"] == "stopped"} <= {str(K.MAX_TOP_K)}
