@@ -2,12 +2,16 @@
 
 A rolling hash over 20 bytes triggers where it is least among its neighbours and cuts each
 text into phrases that overlap by 49 bytes, so every string of 50 bytes begins in exactly
-one phrase and lies inside it. The distinct phrases are the dictionary, the phrases of the
-texts in order the parse. Dictionaries are kept per trigger hash: a phrase found nowhere else
-stays at home, a phrase found again is one entry whatever its number of copies. The suffixes
-of the entries, sorted to 50 bytes, give the corpus order of all suffixes that can match;
-from the parse each run of equal ones gets its smallest document, and every suffix of a
-later document is covered.
+one phrase and lies inside it. The distinct phrases are the dictionary. Dictionaries are kept
+per trigger hash: a phrase found nowhere else stays at home, a phrase found again is one
+entry whatever its number of copies, with the smallest document that holds it. The suffixes
+of the entries are sorted to 50 bytes per bucket of trigger hashes.
+
+The parse (the phrases in the order of the texts) and its suffix array are left out, so no
+order of all suffixes of the corpus is made. They are not needed here: suffixes match when
+their first 50 bytes are equal, equal ones lie in phrases of one trigger hash and so in one
+bucket, and the smallest document of the entries says for each run of equal suffixes which
+is first. Every suffix of a later document is covered.
 
 Edge cases. Null or empty text: no bytes. Texts under 50 bytes lose nothing. Rows that share
 a doc_id are one document and never match each other; a null id counts as the smallest. An
