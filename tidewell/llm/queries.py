@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewell.llm import chat, licenses, lines, mixing, neighbours, packing, quality, simhash, substring, suffixes
+from tidewell.llm import (
+    chat, licenses, lines, mixing, negatives, neighbour_votes, neighbours, packing, quality, simhash, spelling, substring, suffixes,
+)
 from tidewell.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +133,48 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf)
+
+
+@_query()
+def op11_neighbour_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document by the votes of the nearest labelled ones."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    scored = neighbour_votes.score(docs, neighbour_votes.fit(docs, _table(spark, sf, "labels")))
+    held_out = neighbour_votes.held_out(F.col("doc_id")).alias("held_out")
+    return scored.select("doc_id", held_out, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@_query(
+    """
+    WITH rows AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+      FROM rows a JOIN rows r ON a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id
+    ),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id,
+      positive_score, s.score AS negative_score
+    FROM positives JOIN scored s USING (anchor_id)
+    WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+    QUALIFY row_number() OVER w <= 3
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+    """
+)
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, mined from all others."""
+    return negatives.mine(_table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_query()
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of the documents with its frequent form and the root of its group."""
+    return spelling.group_variants(spelling.word_counts(_table(spark, sf, "documents")))
