@@ -80,6 +80,19 @@ def test_pairs_equal_brute_force(spark):
     assert grouped(df) == brute_groups({r["word"]: r["n"] for r in df.collect()})
 
 
+def test_every_edit_is_found(spark):
+    words = set()
+    for w in ["abcdéfg", "aaaabbb", "zyxwvuts", "abababababab", "qzabcdefghij"]:
+        words.add(w)
+        for i in range(len(w) + 1):
+            for c in "aqé":
+                words |= {w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], w[:i] + w[i + 1 :]}
+    words = sorted(w for w in words if len(w) >= 7)
+    df = spark.createDataFrame([(w, 2) for w in words], "word string, n long")
+    want = sorted((a, b) for i, a in enumerate(words) for b in words[i + 1 :] if near(a, b))
+    assert sorted(tuple(r) for r in spelling.near_pairs(df).collect()) == want
+
+
 def test_pivots_do_not_overlap_and_are_cheapest(spark):
     rng = random.Random(8)
     words = sorted({"".join(rng.choice("abcde") for _ in range(rng.randrange(7, 10))) for _ in range(300)})

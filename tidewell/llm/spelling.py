@@ -8,13 +8,14 @@ leaves one of the two whole. With the order's last prefix gram the smaller of th
 the prefixes of the other words only.
 
 Position limits: an edit behind a gram leaves all before it in place, an edit before it
-leaves all behind it. A pivot therefore meets a prefix gram only where the words agree from
-their start to the gram's end, or from the gram's start to their end, and where their
-lengths differ by one at most. What is met is verified by its edit distance.
+leaves all behind it. A pivot therefore meets a prefix gram only at the same distance from
+the word's start or end, where the words also agree from there to the gram; where that piece
+is short, two more letters that the edit cannot have touched must agree. What is met is
+verified by its edit distance.
 
-Nothing is gathered per gram or word: candidates come from an equi-join on (gram, side,
-piece, length), and all counts are combined before they are shuffled. The table of bigrams
-is bounded by the alphabet: 90 letters, 8,100 bigrams.
+Nothing is gathered per gram or word: candidates come from an equi-join on hashes of these
+pieces, four letters at least, and all counts are combined before they are shuffled. The
+table of bigrams is bounded by the alphabet: 90 letters, 8,100 bigrams.
 
 Edge cases. A null text has no words; a null id is written as nothing before the colon.
 Empty and very long texts are ordinary. Equal rows count as often as they come. Without two
@@ -132,28 +133,74 @@ def with_prefixes(words: DataFrame) -> DataFrame:
     return kept.withColumn("pivots", _pivots(F.slice("all", 1, PREFIX))).drop("all")
 
 
-def _pieces(word: Column, at: Column) -> Column:
-    """Both sides of a gram: the word up to its end, and from its start."""
-    return F.array(
-        F.struct(F.lit("head").alias("side"), F.substring(word, F.lit(1), at + GRAM).alias("piece")),
-        F.struct(F.lit("tail").alias("side"), F.substring(word, at + 1, F.length(word)).alias("piece")),
+#: Characters that a short piece takes on beyond its gram, and from the word's other end.
+_LONGER = [(2, 0), (1, 1), (0, 2)]
+
+
+def _key(side: str, near: Column, far: Column | None = None) -> Column:
+    return F.xxhash64(F.lit(side), near, F.lit("") if far is None else far)
+
+
+def _head(word: Column, at: Column, more: int = 0) -> Column:
+    return F.substring(word, F.lit(1), at + GRAM + more)
+
+
+def _tail(word: Column, at: Column, more: int = 0) -> Column:
+    return F.substring(word, at + 1 - more, F.length(word))
+
+
+def _first(word: Column, n: int) -> Column:
+    return F.substring(word, F.lit(1), F.lit(n))
+
+
+def _last(word: Column, n: int) -> Column:
+    return F.substring(word, F.length(word) + 1 - n, F.lit(n))
+
+
+def _index_keys(word: Column, at: Column) -> Column:
+    """Keys a prefix gram is found by: its head and its tail, short ones with more letters."""
+    heads = [_key(f"head{k}{c}", _head(word, at, k), _last(word, c)) for k, c in _LONGER]
+    tails = [_key(f"tail{k}{c}", _tail(word, at, k), _first(word, c)) for k, c in _LONGER]
+    behind = F.length(word) - GRAM - at
+    return F.concat(
+        F.when(at >= 2, F.array(_key("head", _head(word, at)))).otherwise(F.array(*heads)),
+        F.when(behind >= 2, F.array(_key("tail", _tail(word, at)))).otherwise(F.array(*tails)),
     )
 
 
+def _probe_keys(word: Column, p: Column, q: Column) -> Column:
+    """Keys under which the pivots at `p` < `q` look for every word one edit away.
+
+    Edit before the first pivot: the tail from it stays. Behind the second: the head up to
+    it. Between them: the head up to the first and the last two letters stay. On a pivot: the
+    other one stays, with all between it and the pivot hit and all beyond that pivot. A piece
+    of three letters or less takes two of those letters on; a word of seven has them.
+    """
+    between, behind = q - p - GRAM, F.length(word) - GRAM - q
+
+    def longer(side: str, piece, at: Column, far, room: Column) -> Column:
+        keys = {(k, c): _key(f"{side}{k}{c}", piece(word, at, k), far(word, c)) for k, c in _LONGER}
+        return F.when(room >= 2, keys[0, 2]).when(between >= 2, keys[2, 0]).otherwise(keys[1, 1])
+
+    ends = F.array(_key("tail", _tail(word, p)), _key("head", _head(word, q)))
+    second_hit = longer("head", _head, p, _last, behind)
+    short_head = F.array(_key("head02", _head(word, p), _last(word, 2)), second_hit)
+    first_hit = F.array(longer("tail", _tail, q, _first, p))
+    head = F.when(p >= 2, F.array(_key("head", _head(word, p)))).otherwise(short_head)
+    tail = F.when(behind >= 2, F.array(_key("tail", _tail(word, q)))).otherwise(first_hit)
+    return F.array_distinct(F.concat(ends, head, tail))
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, b: every two words one inserted, deleted or replaced code point apart, a < b."""
     known = materialise(with_prefixes(words))
-
-    def placed(grams: str, name: str) -> DataFrame:
-        one = known.select("word", "len", "last", F.explode(grams).alias("g")).select("word", "len", "last", "g.gram", "g.at")
-        sides = one.select(F.col("word").alias(name), F.col("len").alias(f"{name}_len"), F.col("last").alias(f"{name}_last"),
-                           "gram", F.explode(_pieces(F.col("word"), F.col("at"))).alias("p"))
-        return sides.select(name, f"{name}_len", f"{name}_last", "gram", "p.side", "p.piece")
-
-    asked = placed("pivots", "s").withColumn("r_len", F.explode(F.sequence(F.col("s_len") - 1, F.col("s_len") + 1)))
-    met = asked.join(placed("prefix", "r"), ["gram", "side", "piece", "r_len"])
-    met = met.where((F.col("s_last") <= F.col("r_last")) & (F.col("s") != F.col("r")))
-    near = met.where(F.levenshtein("s", "r", 1) == 1)
+    word, pivots = F.col("word"), F.col("pivots")
+    probes = _probe_keys(word, F.get(pivots, F.lit(0))["at"], F.get(pivots, F.lit(1))["at"])
+    asked = known.select(word.alias("s"), F.col("last").alias("s_last"), F.explode(probes).alias("key"))
+    entries = F.array_distinct(F.flatten(F.transform("prefix", lambda g: _index_keys(word, g["at"]))))
+    there = known.select(word.alias("r"), F.col("last").alias("r_last"), F.explode(entries).alias("key"))
+    met = asked.join(there, "key").where((F.col("s_last") <= F.col("r_last")) & (F.col("s") != F.col("r")))
+    near = met.where((F.abs(F.length("s") - F.length("r")) <= 1) & (F.levenshtein("s", "r", 1) == 1))
     return near.select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b")).distinct()
 
 
