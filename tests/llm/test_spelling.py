@@ -68,7 +68,8 @@ def variants(rng, words, n):
     return sorted(out)
 
 
-def test_pairs_equal_brute_force(spark):
+def test_pairs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "ASKED_ROWS", 3)
     rng = random.Random(5)
     seeds = ["".join(rng.choice("abcé") for _ in range(rng.randrange(7, 12))) for _ in range(40)]
     words = variants(rng, seeds, 700) + ["aaaaaaa", "aaaaaaaa", "aaaaaaaaa", "abababab", "babababa", "bababab"]

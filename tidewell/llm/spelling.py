@@ -135,6 +135,10 @@ def with_prefixes(words: DataFrame) -> DataFrame:
 
 #: Characters that a short piece takes on beyond its gram, and from the word's other end.
 _LONGER = [(2, 0), (1, 1), (0, 2)]
+#: Letters beyond the gram from which a piece may stand alone, and from which it always does.
+LEAST, SHORT = 2, 4
+#: Words that look for one key in one task, at most; what they look for goes to all of these.
+ASKED_ROWS = 256
 
 
 def _key(side: str, near: Column, far: Column | None = None) -> Column:
@@ -161,10 +165,12 @@ def _index_keys(word: Column, at: Column) -> Column:
     """Keys a prefix gram is found by: its head and its tail, short ones with more letters."""
     heads = [_key(f"head{k}{c}", _head(word, at, k), _last(word, c)) for k, c in _LONGER]
     tails = [_key(f"tail{k}{c}", _tail(word, at, k), _first(word, c)) for k, c in _LONGER]
-    behind = F.length(word) - GRAM - at
+    behind, none = F.length(word) - GRAM - at, F.array().cast("array<bigint>")
     return F.concat(
-        F.when(at >= 2, F.array(_key("head", _head(word, at)))).otherwise(F.array(*heads)),
-        F.when(behind >= 2, F.array(_key("tail", _tail(word, at)))).otherwise(F.array(*tails)),
+        F.when(at >= LEAST, F.array(_key("head", _head(word, at)))).otherwise(none),
+        F.when(at < SHORT, F.array(*heads)).otherwise(none),
+        F.when(behind >= LEAST, F.array(_key("tail", _tail(word, at)))).otherwise(none),
+        F.when(behind < SHORT, F.array(*tails)).otherwise(none),
     )
 
 
@@ -174,7 +180,8 @@ def _probe_keys(word: Column, p: Column, q: Column) -> Column:
     Edit before the first pivot: the tail from it stays. Behind the second: the head up to
     it. Between them: the head up to the first and the last two letters stay. On a pivot: the
     other one stays, with all between it and the pivot hit and all beyond that pivot. A piece
-    of three letters or less takes two of those letters on; a word of seven has them.
+    of five letters or less takes two of those letters on where there are two; a piece of
+    three or less always finds them, as words have seven.
     """
     between, behind = q - p - GRAM, F.length(word) - GRAM - q
 
@@ -186,8 +193,10 @@ def _probe_keys(word: Column, p: Column, q: Column) -> Column:
     second_hit = longer("head", _head, p, _last, behind)
     short_head = F.array(_key("head02", _head(word, p), _last(word, 2)), second_hit)
     first_hit = F.array(longer("tail", _tail, q, _first, p))
-    head = F.when(p >= 2, F.array(_key("head", _head(word, p)))).otherwise(short_head)
-    tail = F.when(behind >= 2, F.array(_key("tail", _tail(word, q)))).otherwise(first_hit)
+    plain_head = (p >= SHORT) | (between + behind < 2)
+    plain_tail = (behind >= SHORT) | (between + p < 2)
+    head = F.when(plain_head, F.array(_key("head", _head(word, p)))).otherwise(short_head)
+    tail = F.when(plain_tail, F.array(_key("tail", _tail(word, q)))).otherwise(first_hit)
     return F.array_distinct(F.concat(ends, head, tail))
 
 
@@ -199,7 +208,13 @@ def near_pairs(words: DataFrame) -> DataFrame:
     asked = known.select(word.alias("s"), F.col("last").alias("s_last"), F.explode(probes).alias("key"))
     entries = F.array_distinct(F.flatten(F.transform("prefix", lambda g: _index_keys(word, g["at"]))))
     there = known.select(word.alias("r"), F.col("last").alias("r_last"), F.explode(entries).alias("key"))
-    met = asked.join(there, "key").where((F.col("s_last") <= F.col("r_last")) & (F.col("s") != F.col("r")))
+    # A key many words ask for is dealt over parts, its entries are sent to each of them.
+    parts = F.ceil(F.col("_n") / ASKED_ROWS).cast("int").alias("_parts")
+    hot = materialise(asked.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > ASKED_ROWS).select("key", parts))
+    of = F.coalesce("_parts", F.lit(1))
+    asked = asked.join(hot, "key", "left").withColumn("_part", F.pmod(F.xxhash64("s"), of)).drop("_parts")
+    there = there.join(hot, "key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), of - 1))).drop("_parts")
+    met = asked.join(there.withColumn("_part", F.col("_part").cast("long")), ["key", "_part"]).where((F.col("s_last") <= F.col("r_last")) & (F.col("s") != F.col("r")))
     near = met.where((F.abs(F.length("s") - F.length("r")) <= 1) & (F.levenshtein("s", "r", 1) == 1))
     return near.select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b")).distinct()
 
