@@ -132,7 +132,7 @@ def test_dense_paths_agree_with_brute_force(vectors):
                 near.append((round(1 - x @ y / np.linalg.norm(x) / np.linalg.norm(y), 10), b["chunk_id"]))
         want |= {(a["query_id"], cid, i + 1) for i, (_, cid) in enumerate(sorted(near)[:15])}
     by_broadcast = {(r["query_id"], r["chunk_id"], r["rnk"]) for r in dense_topk(q, c, 15).collect()}
-    by_tiles = {(r["query_id"], r["chunk_id"], r["rnk"]) for r in dense_topk(q, c, 15, tile_bytes=900).collect()}
+    by_tiles = {(r["query_id"], r["chunk_id"], r["rnk"]) for r in dense_topk(q, c, 15, cell_queries=3, cell_rows=16).collect()}
     assert by_broadcast == want
     assert by_tiles == want
 
