@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ from tidewell.session import materialise
 K1 = 1.2
 B = 0.75
 
+#: What a block of postings keeps of its entries to bound their scores.
+BOUNDS = ["max_tf", "min_terms"]
+#: Blocks of the lead term that every query reads.
+FIRST_BLOCKS = 4
+
 # Limits and weights of the text-search rank
 PG_MAX_POSITION = 16383
 PG_MAX_POSITIONS = 256
@@ -92,9 +99,9 @@ def keyword_topk(
 
     postings: chunk_id, pipeline_id, term, tf, n_terms, best read from a written table.
     They are read once: the rows of query terms are written out and all else runs on
-    them. A TermIndex reads the partitions of these terms only and brings its own corpus
-    statistics. Queries of a pipeline with the same terms are ranked once. Candidates come
-    from the rarest term of a set only, cut to the chunk_ids of `allowed` where given, and
+    them. A TermIndex reads the blocks of these terms only, brings its own corpus
+    statistics and skips blocks that cannot reach the k-th score. Queries of a pipeline with
+    the same terms are ranked once. Candidates come from the rarest term of a set only, cut to the chunk_ids of `allowed` where given, and
     the other terms are looked up by (chunk, term), so a term found in most chunks costs
     nothing extra. A set with a term the corpus lacks drops out before any lookup. `corpus`
     (n_chunks, avg_terms per pipeline_id) is a second read of the postings when not given.
@@ -106,10 +113,14 @@ def keyword_topk(
     distinct = sets.select(F.struct("pipeline_id", "_set").alias("query_id"), "pipeline_id", "_t").distinct()
     qt = distinct.select("query_id", "pipeline_id", F.size("_t").cast("long").alias("n_q"), F.explode("_t").alias("term"))
     vocabulary = qt.select("pipeline_id", "term").distinct()
-    if not isinstance(postings, DataFrame):
-        corpus = postings.stats() if corpus is None else corpus
-        postings = postings.lookup(vocabulary)
-    hits = materialise(postings.join(vocabulary, ["pipeline_id", "term"], "left_semi"))
+    blocks = None
+    if isinstance(postings, DataFrame):
+        hits = materialise(postings.join(vocabulary, ["pipeline_id", "term"], "left_semi"))
+    else:
+        corpus = materialise(postings.stats() if corpus is None else corpus)
+        stored = postings.blocks(vocabulary)
+        hits = materialise(postings.live_entries(stored))
+        blocks = materialise(stored.select("pipeline_id", "term", "block", "n", *BOUNDS))
     df = hits.groupBy("pipeline_id", "term").agg(F.count("*").alias("df"))
     weighed = qt.join(df, ["pipeline_id", "term"])
     complete = (
@@ -120,36 +131,45 @@ def keyword_topk(
         )
         .where(F.col("found") == F.col("n_q"))
     )
-    candidates = complete.join(
-        hits.select("pipeline_id", F.col("term").alias("lead"), "chunk_id"), ["pipeline_id", "lead"]
-    ).select("query_id", "chunk_id")
-    if allowed is not None:
-        candidates = candidates.join(allowed, "chunk_id", "left_semi")
-    wanted = candidates.join(weighed, "query_id")
-    matched = wanted.join(hits, ["pipeline_id", "chunk_id", "term"])
-    score = F.col("tf").cast("double")
+    stats = None
     if scorer == "bm25":
         stats = corpus if corpus is not None else corpus_stats(postings)
-        matched = matched.join(stats, "pipeline_id")
-        score = bm25_weight(
-            F.col("tf"), F.col("df"), F.col("n_terms"), F.col("n_chunks"), F.col("avg_terms")
-        )
     elif scorer not in ("tf", "ts_rank"):
         raise ValueError(f"unknown scorer: {scorer}")
-    total = F.sum(score)
-    if scorer == "ts_rank":
-        # One list of positions per term meets per set and chunk.
-        lists = F.transform(
-            F.array_sort(F.collect_list(F.struct("term", "positions"))), lambda s: s["positions"]
+
+    def ranked_of(lead_hits: DataFrame) -> DataFrame:
+        """Scores of the chunks that hold all terms, from (query_id, chunk_id) of the lead term."""
+        candidates = lead_hits if allowed is None else lead_hits.join(allowed, "chunk_id", "left_semi")
+        wanted = candidates.join(weighed, "query_id")
+        matched = wanted.join(hits, ["pipeline_id", "chunk_id", "term"])
+        score = F.col("tf").cast("double")
+        if stats is not None:
+            matched = matched.join(stats, "pipeline_id")
+            score = bm25_weight(
+                F.col("tf"), F.col("df"), F.col("n_terms"), F.col("n_chunks"), F.col("avg_terms")
+            )
+        total = F.sum(score)
+        if scorer == "ts_rank":
+            # One list of positions per term meets per set and chunk.
+            total = F.transform(
+                F.array_sort(F.collect_list(F.struct("term", "positions"))), lambda s: s["positions"]
+            )
+        return (
+            matched.groupBy("query_id", "chunk_id", "n_q")
+            .agg(F.count("*").alias("_m"), total.alias("_total"))
+            .withColumn("kw_score", F.round(ts_rank(F.col("_total")) if scorer == "ts_rank" else F.col("_total"), 9))
+            .where(F.col("_m") == F.col("n_q"))
+            .select("query_id", "chunk_id", "kw_score")
         )
-        total = lists
-    ranked = (
-        matched.groupBy("query_id", "chunk_id", "n_q")
-        .agg(F.count("*").alias("_m"), total.alias("_total"))
-        .withColumn("kw_score", F.round(ts_rank(F.col("_total")) if scorer == "ts_rank" else F.col("_total"), 9))
-        .where(F.col("_m") == F.col("n_q"))
-        .select("query_id", "chunk_id", "kw_score")
-    )
+
+    if blocks is not None:
+        weighed, complete = materialise(weighed), materialise(complete)
+    if blocks is None or scorer == "ts_rank":
+        lead = hits.select("pipeline_id", F.col("term").alias("lead"), "chunk_id")
+        ranked = ranked_of(complete.join(lead, ["pipeline_id", "lead"]).select("query_id", "chunk_id"))
+    else:
+        bounded = block_bounds(complete, weighed, blocks, stats)
+        ranked = best_first(bounded, lambda b: ranked_of(_lead_hits(b, hits)), k)
     best = [F.col("kw_score").desc(), F.col("chunk_id")]
     top = ordered.newest(ranked, ["query_id"], best, k, "rnk").select(
         F.col("query_id.pipeline_id").alias("pipeline_id"), F.col("query_id._set").alias("_set"), "chunk_id", "kw_score", "rnk"
@@ -159,6 +179,52 @@ def keyword_topk(
     )
 
 
+def block_bounds(complete: DataFrame, weighed: DataFrame, blocks: DataFrame, stats: DataFrame | None) -> DataFrame:
+    """query_id, pipeline_id, lead, block, bound: what a chunk of each lead block can score at most.
+
+    The block's own best plus the best any block of the query's other terms has.
+    """
+    of_term = weighed.join(blocks, ["pipeline_id", "term"])
+    if stats is None:
+        most = F.col("max_tf").cast("double")
+    else:
+        of_term = of_term.join(stats, "pipeline_id")
+        most = bm25_weight(F.col("max_tf"), F.col("df"), F.col("min_terms"), F.col("n_chunks"), F.col("avg_terms"))
+    of_term = of_term.select("query_id", "pipeline_id", "term", "block", most.alias("_most"))
+    per_term = of_term.groupBy("query_id", "term").agg(F.max("_most").alias("_best"))
+    leads = complete.select("query_id", F.col("lead").alias("term"))
+    others = per_term.join(leads, ["query_id", "term"], "left_anti").groupBy("query_id").agg(F.sum("_best").alias("_others"))
+    own = of_term.join(leads, ["query_id", "term"])
+    bound = (F.col("_most") + F.coalesce("_others", F.lit(0.0))).alias("bound")
+    return own.join(others, "query_id", "left").select("query_id", "pipeline_id", F.col("term").alias("lead"), "block", bound)
+
+
+def _lead_hits(chosen: DataFrame, hits: DataFrame) -> DataFrame:
+    there = hits.select("pipeline_id", F.col("term").alias("lead"), "block", "chunk_id")
+    return chosen.join(there, ["pipeline_id", "lead", "block"]).select("query_id", "chunk_id")
+
+
+def worth_reading(bounded: DataFrame, first: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
+    """Blocks beyond the first ones that may still hold one of a query's k best."""
+    best = [F.col("kw_score").desc(), F.col("chunk_id")]
+    kth = ordered.newest(ranked, ["query_id"], best, k, "_rn").where(F.col("_rn") == k)
+    rest = bounded.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti")
+    # Scores are rounded to nine digits before they are compared.
+    return rest.join(kth.select("query_id", "kw_score"), "query_id", "left").where(
+        F.col("kw_score").isNull() | (F.col("bound") >= F.col("kw_score") - 1e-8)
+    ).drop("kw_score")
+
+
+def best_first(bounded: DataFrame, ranked_of: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
+    """Scores from the most promising blocks of each query, then from those that can beat them."""
+    bounded = materialise(bounded)
+    top = [F.col("bound").desc(), F.col("block")]
+    first = materialise(ordered.newest(bounded, ["query_id"], top, FIRST_BLOCKS, "_rn").drop("_rn"))
+    ranked = materialise(ranked_of(first))
+    more = worth_reading(bounded, first, ranked, k)
+    return ranked.unionByName(ranked_of(more))
+
+
 def corpus_stats(postings: DataFrame) -> DataFrame:
     """n_chunks and avg_terms per pipeline."""
     return (
@@ -172,7 +238,12 @@ def corpus_stats(postings: DataFrame) -> DataFrame:
 def bm25_weight(tf: Column, df: Column, n_terms: Column, n_chunks: Column, avg_terms: Column) -> Column:
     """Robertson and Zaragoza 2009, with the idf kept positive."""
     idf = F.log(1 + (n_chunks - df + 0.5) / (df + 0.5))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_terms / avg_terms))
+    return idf * length_weight(tf, n_terms, avg_terms)
+
+
+def length_weight(tf: Column, n_terms: Column, avg_terms: Column) -> Column:
+    """Share of a term's weight; grows with tf and falls with the text's length."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_terms / avg_terms))
 
 
 def ts_rank(positions: Column) -> Column:
