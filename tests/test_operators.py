@@ -315,25 +315,6 @@ def test_expansion_keeps_four_with_own_query_first(spark):
     assert [r["q"] for r in search.expand_queries(queries, same).orderBy("list_no").collect()] == ["e0", "q"]
 
 
-def test_drift_stream_takes_late_scores(spark, tmp_path):
-    from tidewell.streaming.jobs import drift_stream
-
-    schema = "pipeline_id int, run_id int, created_at timestamp_ntz, unified_score double"
-    start = datetime(2024, 1, 1)
-    batches = [
-        [(1, 1, start, 0.9), (1, 2, start + timedelta(days=2), 0.8)],
-        [(1, 3, start + timedelta(days=1), 0.95), (1, 2, start + timedelta(days=2), 0.8)],
-    ]
-    state = KeyedStore(spark, str(tmp_path / "s"), spark.createDataFrame([], schema).schema, key="pipeline_id", buckets=2)
-    for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        drift_stream(stream, state, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "out")).where("batch = 1").first()
-    assert (last["n_scores"], last["latest"], last["drift"]) == (3, 0.8, True)
-    assert last["prior_avg"] == pytest.approx(0.925)
-
-
 def test_json_containment_by_type(spark):
     from tidewell.operators.filters import json_contains
 

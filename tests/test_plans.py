@@ -209,24 +209,6 @@ def test_store_reads_touched_buckets_only(spark, tmp_path):
     assert "key_bucket" in part._jdf.queryExecution().toString().split("PartitionFilters: ")[1][:80]
 
 
-def test_newer_score_wins_in_the_drift_stream(spark, tmp_path):
-    from tidewell.plans.store import KeyedStore
-    from tidewell.streaming.jobs import drift_stream
-
-    columns = "pipeline_id string, run_id int, created_at timestamp_ntz, unified_score double"
-
-    def deliver(score):
-        rows = [("p", 1, datetime(2024, 1, 1), 0.9), ("p", 2, datetime(2024, 1, 2), score)]
-        spark.createDataFrame(rows, columns).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(columns).parquet(str(tmp_path / "in"))
-        drift_stream(stream, state, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
-
-    state = KeyedStore(spark, str(tmp_path / "state"), spark.createDataFrame([], columns).schema, key="pipeline_id", buckets=2)
-    deliver(0.2)
-    deliver(0.7)
-    assert sorted((r["run_id"], r["unified_score"]) for r in state.read().collect()) == [(1, 0.9), (2, 0.7)]
-
-
 def test_runs_without_a_score_stay_in_the_outcome(spark):
     runs = spark.createDataFrame([(1, "p", {"top_k": "5"}, "auto"), (2, "p", {"top_k": "18"}, "auto")], "run_id int, pipeline_id string, config map<string,string>, approval_mode string")
 

@@ -17,6 +17,7 @@ from tidewell.plans.ingest import ingest
 from tidewell.plans.store import KeyedStore
 from tidewell.session import ensure_checkpoint_dir, materialise
 from tidewell.streaming import jobs as streams
+from tidewell.streaming.drift import drift_stream
 
 
 def scratch(spark) -> str:
@@ -265,11 +266,10 @@ def streamed_drift(spark, sf):
     stream = (
         spark.readStream.schema(rows.select(*columns).schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     )
-    state = KeyedStore(spark, f"{base}/state", rows.select(*columns).schema, key="pipeline_id", buckets=8)
-    streams.drift_stream(stream, state, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    drift_stream(stream, f"{base}/out", f"{base}/ckpt").awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     last = out.groupBy("pipeline_id").agg(
-        F.max_by(F.struct("n_scores", "latest", "prior_avg", "drift"), "batch").alias("_r")
+        F.max_by(F.struct("n_scores", "latest", "prior_avg", "drift"), "step").alias("_r")
     )
     return last.select("pipeline_id", "_r.*").withColumns(
         {"latest": F.round("latest", 9), "prior_avg": F.round("prior_avg", 9)}

@@ -1,4 +1,4 @@
-"""Continuous ingest, drift watch and connector polling.
+"""Continuous ingest and connector polling; the drift watch is in `streaming/drift.py`.
 
 Each micro-batch runs the same DataFrame code as the batch jobs inside foreachBatch.
 Every write is keyed by document, pipeline or batch number, so a batch that is run again
@@ -13,14 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewell import constants as K
-from tidewell.functions import ordered
-from tidewell.operators.drift import score_drift
 from tidewell.operators.filters import due_connectors
 from tidewell.operators.ranking import latest_per_key
 from tidewell.plans.ingest import ingest_to_store
 from tidewell.plans.store import KeyedStore
-from tidewell.session import materialise
 
 POLL_SECONDS = 300
 SCAN_MINUTES = 60
@@ -62,40 +58,6 @@ def ingest_stream(
     return _start(files, run, checkpoint, every)
 
 
-def drift_stream(
-    evaluations: DataFrame,
-    state: KeyedStore,
-    out_path: str,
-    checkpoint: str,
-    n: int = K.DRIFT_WINDOW,
-    every: str | None = None,
-) -> StreamingQuery:
-    """Drift of every pipeline that got new scores, written per batch.
-
-    evaluations: a stream of pipeline_id, run_id, created_at, unified_score. The state
-    keeps the newest `n` scores per pipeline by created_at, so late scores take their
-    place if they are still among them and are left out otherwise.
-    """
-
-    def run(batch: DataFrame, number: int) -> None:
-        columns = ["pipeline_id", "run_id", "created_at", "unified_score"]
-        fresh = batch.select(*columns)
-        touched = fresh.select("pipeline_id").distinct()
-        known = state.read(touched).select(*columns)
-        # A newer delivery of a run wins; within a batch the later time, then the higher score.
-        both = known.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
-        latest = F.max(F.struct("_new", "created_at", "unified_score")).alias("_l")
-        both = both.groupBy("pipeline_id", "run_id").agg(latest).select(
-            "pipeline_id", "run_id", "_l.created_at", "_l.unified_score"
-        )
-        newest = [F.col("created_at").desc(), F.col("run_id").desc()]
-        kept = materialise(ordered.newest(both, ["pipeline_id"], newest, n).drop("rn"))
-        score_drift(kept, n).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        state.replace(kept)
-
-    return _start(evaluations, run, checkpoint, every)
-
-
 def connector_due_stream(
     ticks: DataFrame,
     connectors: Callable[[], DataFrame],
