@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions import ordered
+from tidewell.functions import medians, ordered
 from tidewell.operators import chunking, drift, evaluation, fusion, lifecycle
 from tidewell.operators.dense import dense_topk
 from tidewell.operators.embedding import embed_chunks
@@ -101,7 +101,7 @@ def test_upper_median(spark):
     rng = random.Random(1)
     rows = [(k, rng.choice([rng.uniform(-500, 500), 7.0])) for k in "abc" for _ in range(rng.randint(1, 60))]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: r["m"] for r in ordered.upper_median(df, "v", ["k"], "m", width=3.0).collect()}
+    got = {r["k"]: r["m"] for r in medians.upper_median(df, "v", ["k"], "m").collect()}
     values = {k: sorted(v for kk, v in rows if kk == k) for k in "abc"}
     assert got == {k: v[len(v) // 2] for k, v in values.items()}
 

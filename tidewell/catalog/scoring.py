@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidewell import constants as K
 from tidewell.catalog import fixtures as fx
 from tidewell.catalog.registry import query
-from tidewell.functions import ordered, scoring
+from tidewell.functions import scoring
+from tidewell.functions.medians import upper_median
 from tidewell.operators import drift, evaluation, golden, ranking
 
 
@@ -61,12 +62,12 @@ def adversarial_rate(spark, sf):
 SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY 1""",
 )
 def median_latency(spark, sf):
-    return ordered.upper_median(fx.table(spark, sf, "events"), "value", ["event_type"], "median", width=5.0)
+    return upper_median(fx.table(spark, sf, "events"), "value", ["event_type"], "median")
 
 
 @query("median_latency_overall", "SELECT list_sort(list(value))[count(*) // 2 + 1] AS median FROM events")
 def median_latency_overall(spark, sf):
-    return ordered.upper_median(fx.table(spark, sf, "events"), "value", [], "median", width=5.0)
+    return upper_median(fx.table(spark, sf, "events"), "value", [], "median")
 
 
 @query(

@@ -72,33 +72,3 @@ def newest(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str
     return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(
         F.col(out) <= n
     )
-
-
-def upper_median(
-    df: DataFrame, value: str, keys: list[str], out: str, width: float = 100.0
-) -> DataFrame:
-    """sorted[n // 2] per key, found in value ranges instead of a sorted group.
-
-    Equal values are counted first, map-side. Counts per range of `width` then show which
-    range holds the wanted rank, and only that range's distinct values are ordered.
-    """
-    cell = F.floor(F.col(value) / width).alias("_cell")
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(*keys, value, cell).agg(F.count("*").alias("_n"))
-    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_t"))
-    by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    so_far = by_key.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
-    middle = F.floor(F.sum("_t").over(by_key) / 2)
-    chosen = (
-        cells.withColumns({"_upto": F.sum("_t").over(so_far), "_mid": middle})
-        .where((F.col("_upto") > F.col("_mid")) & (F.col("_upto") - F.col("_t") <= F.col("_mid")))
-        .select(*keys, "_cell", (F.col("_mid") - F.col("_upto") + F.col("_t")).alias("_skip"))
-    )
-    inside = W.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        counts.join(chosen, [*keys, "_cell"])
-        .withColumn("_upto", F.sum("_n").over(inside))
-        .where(F.col("_upto") > F.col("_skip"))
-        .groupBy(*keys)
-        .agg(F.min(value).alias(out))
-    )

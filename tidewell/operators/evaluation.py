@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import ordered, scoring
+from tidewell.functions.medians import upper_median
 from tidewell.functions.text import is_refusal
 
 
@@ -111,7 +112,7 @@ def evaluate_runs(
         F.sum(refused.cast("long")).alias("passes"),
     )
     answered = asked.where(synthetic)
-    latency = ordered.upper_median(answered, "latency_ms", ["run_id"], "median_ms", width=1000.0)
+    latency = upper_median(answered, "latency_ms", ["run_id"], "median_ms")
     notes = judge_notes(answered, ["run_id"], "query_id")
     base = runs.select("run_id")
     for part in (scored, latency, notes):
