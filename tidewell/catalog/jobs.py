@@ -16,6 +16,7 @@ from tidewell.plans import optimise, search, sync
 from tidewell.plans.ingest import ingest
 from tidewell.plans.store import KeyedStore
 from tidewell.session import ensure_checkpoint_dir, materialise
+from tidewell.sources import csv_lines
 from tidewell.streaming import jobs as streams
 from tidewell.streaming.drift import drift_stream
 
@@ -250,6 +251,32 @@ def synced_sources(spark, sf):
     )
 
 
+@query(
+    "csv_file_blocks",
+    """
+WITH r AS (
+  SELECT CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn,
+         '| ' || p_partkey || ' | ' || p_type || ',' || chr(10) || p_name || ' | ' || p_size || ' |' AS line FROM part
+)
+SELECT brand, CAST((rn - 1) // 10 AS INTEGER) AS block_no,
+       '| p_partkey | label | p_size |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY rn) AS content
+FROM r GROUP BY 1, 2""",
+)
+def csv_file_blocks(spark, sf):
+    """A CSV file per brand, with commas and line breaks inside quotes, read by its lines."""
+    base = scratch(spark)
+    brand = F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("brand")
+    rows = fx.table(spark, sf, "part").select(
+        brand, "p_partkey", F.concat_ws(",\n", "p_type", "p_name").alias("label"), "p_size"
+    )
+    files = rows.repartition("brand").sortWithinPartitions("brand", "p_partkey").write.partitionBy("brand")
+    files.options(header=True, escape='"').csv(base)
+    blocks = csv_lines.csv_line_blocks(csv_lines.file_lines(spark, base), "path")
+    return blocks.select(
+        F.regexp_extract("path", "brand=([0-9]+)", 1).cast("long").alias("brand"), "block_no", "content"
+    )
+
+
 @query(
     "streamed_drift",
     "WITH " + fx.EVALUATIONS + "," + scoring._DRIFT

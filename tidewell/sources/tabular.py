@@ -34,7 +34,7 @@ _READ = T.StructType(
 
 
 @F.pandas_udf(_READ)
-def _csv_rows(texts: pd.Series) -> pd.DataFrame:
+def csv_rows(texts: pd.Series) -> pd.DataFrame:
     """Cells of each file, or what keeps it from being read as CSV; null text has neither."""
 
     csv.field_size_limit(sys.maxsize)
@@ -50,6 +50,18 @@ def _csv_rows(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read(t) for t in texts], columns=["rows", "error"])
 
 
+def table_text(header: Column, rows: Column) -> Column:
+    """A markdown table; rows are padded or cut to the header's width."""
+    width = F.size(header)
+
+    def fit(row: Column) -> Column:
+        pad = F.array_repeat(F.lit(""), F.greatest(width - F.size(row), F.lit(0)))
+        return F.concat(F.slice(row, F.lit(1), F.least(F.size(row), width)), pad)
+
+    body = F.transform(rows, lambda r: _line(fit(r)))
+    return F.array_join(F.concat(F.array(_line(header), _rule(width)), body), "\n")
+
+
 def csv_tables(files: DataFrame, text: str, n: int = K.ROWS_PER_TABLE) -> DataFrame:
     """Add `tables`: one markdown table per `n` data rows of each file's text.
 
@@ -58,18 +70,13 @@ def csv_tables(files: DataFrame, text: str, n: int = K.ROWS_PER_TABLE) -> DataFr
     """
     trimmed = strip(F.regexp_replace(F.col(text), "\r\n?", "\n"))
     rows = F.transform("_csv.rows", lambda r: F.transform(r, lambda cell: strip(cell)))
-    staged = files.withColumn("_csv", _csv_rows(trimmed)).withColumns({"_rows": rows, "csv_error": F.col("_csv.error")})
+    staged = files.withColumn("_csv", csv_rows(trimmed)).withColumns({"_rows": rows, "csv_error": F.col("_csv.error")})
     staged = staged.withColumn("_header", F.get("_rows", 0))
-    header, width = F.col("_header"), F.size("_header")
+    header = F.col("_header")
     groups = F.sequence(F.lit(2), F.greatest(F.size("_rows"), F.lit(2)), F.lit(n))
 
-    def fit(row: Column) -> Column:
-        pad = F.array_repeat(F.lit(""), F.greatest(width - F.size(row), F.lit(0)))
-        return F.concat(F.slice(row, F.lit(1), F.least(F.size(row), width)), pad)
-
     def table(first: Column) -> Column:
-        body = F.transform(F.slice(F.col("_rows"), first, n), lambda r: _line(fit(r)))
-        return F.array_join(F.concat(F.array(_line(header), _rule(width)), body), "\n")
+        return table_text(header, F.slice(F.col("_rows"), first, n))
 
     empty = header.isNull() | F.forall(header, lambda h: h == "")
     tables = F.when(empty, F.array().cast("array<string>")).otherwise(F.transform(groups, table))
