@@ -141,6 +141,25 @@ def test_chat_round_trip():
         assert loss == [x for role, x in turns if role == "assistant"]
 
 
+def test_chat_roles_that_read_like_display_names(spark):
+    """Raw role names, escaped ones and empty ones come back as they were."""
+    t = chat.DEFAULT
+    odd = ["Assistant", "assistant", "User", "\\User", "\\\\User", "System", "system", "", "#", "A", "Assistant: ", "</turn>\n"]
+    turns = [(role, role) for role in odd]
+    text, valid, wrong, segments = chat.format_turns(turns, t)
+    assert chat.read_turns(text, t) == turns and (valid, wrong) == (False, 0)
+    assert sum(s["loss"] for s in segments) == 1
+    conv = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    (row,) = chat.read_chat(chat.format_chat(conv)).collect()
+    assert row["turns"] == "".join(f"{r}\n{x}\n" for r, x in turns) and row["loss_text"] == "assistant"
+
+
+def test_chat_templates_that_cannot_be_read_back():
+    for names in ({"a": "X", "b": "X"}, {"a": ""}, {"a": "#x"}, {"a": "\\x"}):
+        with pytest.raises(ValueError, match="display names"):
+            chat.Template(names=names)
+
+
 def test_chat_machine():
     check = lambda *roles: chat.format_turns([(r, "x") for r in roles], chat.DEFAULT)[1:3]
     assert check("system", "user", "assistant", "user") == (True, None)

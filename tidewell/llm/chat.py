@@ -39,6 +39,11 @@ class Template:
         }
     )
 
+    def __post_init__(self) -> None:
+        shown = list(self.names.values())
+        if len(set(shown)) < len(shown) or any(not name or name[0] in self.special for name in shown):
+            raise ValueError("display names must differ and begin with a character that needs no escape")
+
     @property
     def special(self) -> str:
         """Characters that are escaped: the first of each marker, and the escape itself."""
@@ -50,6 +55,17 @@ class Template:
     def show(self, text: str) -> str:
         return re.sub(f"{re.escape(self.escape)}(.)", r"\1", text, flags=re.S)
 
+    def write_role(self, role: str) -> str:
+        """The display name, or the role itself; one that reads like a display name starts escaped."""
+        if role in self.names:
+            return self.hide(self.names[role])
+        guard = self.escape + role[0] if role in self.names.values() else ""
+        return guard + self.hide(role[1:] if guard else role)
+
+    def read_role(self, written: str) -> str:
+        roles = {self.hide(name): role for role, name in self.names.items()}
+        return roles[written] if written in roles else self.show(written)
+
     def turn(self) -> re.Pattern:
         plain = f"((?:[^{re.escape(self.special)}]|{re.escape(self.escape)}.)*)"
         return re.compile(
@@ -69,7 +85,7 @@ def format_turns(turns: list[tuple[str, str]], template: Template) -> tuple[str,
         if wrong is None and role not in template.follows.get(state, ()):
             wrong = number
         state = role
-        name = template.hide(template.names.get(role, role))
+        name = template.write_role(role)
         for piece, loss in (
             (template.opening + name + template.after_role, False),
             (template.hide(text), role in template.trained),
@@ -83,14 +99,12 @@ def format_turns(turns: list[tuple[str, str]], template: Template) -> tuple[str,
 
 def read_turns(formatted: str, template: Template) -> list[tuple[str, str]]:
     """Roles and texts of a formatted conversation."""
-    roles = {name: role for role, name in template.names.items()}
     out, at, pattern = [], 0, template.turn()
     while at < len(formatted):
         found = pattern.match(formatted, at)
         if found is None:
             raise ValueError(f"no turn at character {at}")
-        name = template.show(found[1])
-        out.append((roles.get(name, name), template.show(found[2])))
+        out.append((template.read_role(found[1]), template.show(found[2])))
         at = found.end()
     return out
 
