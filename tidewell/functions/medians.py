@@ -21,7 +21,7 @@ from tidewell.session import materialise, release
 CUTS = 64
 ACCURACY = 1000
 #: So many rows of a key are put in order; beyond that they are cut again.
-FEW = 4096
+FEW = 65_536
 
 
 def _sketch(rows: DataFrame, names: list[str]) -> DataFrame:
