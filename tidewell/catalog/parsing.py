@@ -8,7 +8,7 @@ from tidewell import constants as K
 from tidewell.catalog import fixtures as fx
 from tidewell.catalog.registry import query
 from tidewell.functions import urls
-from tidewell.operators import chunking
+from tidewell.operators import chunking, spread_chunks
 from tidewell.sources import crawl, files, html, tabular, transcripts, workspace
 
 _TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(13))"
@@ -373,6 +373,11 @@ def semantic_chunks_by_line(spark, sf):
     return _chunk_out(chunking.semantic_chunks(_doc_blocks(spark, sf), sep="\n"))
 
 
+@query("semantic_chunks_spread", _semantic_sql("chr(10)"))
+def semantic_chunks_spread(spark, sf):
+    return _chunk_out(spread_chunks.semantic_chunks_spread(_doc_blocks(spark, sf), sep="\n", long_chars=1 << 11))
+
+
 _HIERARCHY = r"""
 WITH p AS (
   SELECT doc_id, pno, p, regexp_extract_all(p, '[^\s]+') AS w FROM (

@@ -236,11 +236,14 @@ def _explode_chunks(staged: DataFrame, step: Column) -> DataFrame:
 
 
 def chunk_by_strategy(blocks: DataFrame, strategy: str = "chunking_strategy", **options) -> DataFrame:
-    """Send each block to the chunker its strategy column names; unknown ones give no chunks."""
+    """Send each block to the chunker its strategy column names; unknown ones give no chunks.
+
+    Options: sep, and `semantic`, a function to use in place of `semantic_chunks`.
+    """
     routed = blocks.withColumn("_route", route_strategy(F.col(strategy)))
     sep = options.get("sep", BLANK_LINE)
     parts = [
-        semantic_chunks(routed.where(F.col("_route") == "semantic"), sep=sep),
+        options.get("semantic", semantic_chunks)(routed.where(F.col("_route") == "semantic"), sep=sep),
         hierarchical_chunks(routed.where(F.col("_route") == "hierarchical"), sep=sep),
     ]
     return parts[0].unionByName(parts[1]).drop("_route")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tidewell.functions.rows import explode_rows
 from tidewell.operators import chunking, lifecycle, pii
 from tidewell.operators.embedding import Provider, embed_chunks
 from tidewell.operators.filters import drop_blank_blocks
+from tidewell.operators.spread_chunks import semantic_chunks_spread
 from tidewell.plans.store import KeyedStore
 from tidewell.plans.term_index import TermIndex
 from tidewell.session import materialise
@@ -117,9 +119,12 @@ def ingest(
     provider: Provider | None = None,
     dim: int = 768,
     sep: str = chunking.BLANK_LINE,
+    long_chars: int | None = None,
 ) -> Ingested:
     """Parse, mask, chunk and embed files; a failing file is a row of the summary.
 
+    With `long_chars`, packed blocks of more characters are cut by many tasks.
+
     files: document_id, pipeline_id, organization_id, chunking_strategy, filename,
     mime_type, sensitive, bytes. Masked blocks are written out once, as the summary and
     the chunks both read them.
@@ -129,7 +134,8 @@ def ingest(
     uncut = files.select("document_id", chunking.strategy_error(F.col("chunking_strategy")).alias("problem"))
     errors = unread.unionByName(uncut.where("problem IS NOT NULL"))
     blocks = every.where("type <> 'error'")
-    cut = chunking.chunk_by_strategy(blocks.drop("pii_count", "sensitive", "mime_type"), sep=sep)
+    packer = chunking.semantic_chunks if long_chars is None else partial(semantic_chunks_spread, long_chars=long_chars)
+    cut = chunking.chunk_by_strategy(blocks.drop("pii_count", "sensitive", "mime_type"), sep=sep, semantic=packer)
     named = cut.select(
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
         "document_id",
