@@ -137,4 +137,24 @@ def test_neighbours_odd_rows(spark):
     assert {q: [v for _, v in sorted(x)] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in want.items()}
     few = neighbours.search(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0).collect()
     assert len(few) == 2
+    nameless = spark.createDataFrame([(None, [9.0, 9.0]), (None, [9.0, 9.0]), (None, [3.0, 0.0]), (5, [3.0, 0.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    found = neighbours.search(nameless, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in found] == [(1, None, 18.0), (2, None, 18.0), (3, 5, 3.0), (4, None, 3.0)]
     assert neighbours.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_neighbours_as_registered(spark):
+    """Recall of the registered query with more than one leaf, in parts of large and small norms."""
+    table = spark.read.parquet(f"{SF}/../sf0.1/embeddings.parquet")
+    far = table.select((F.col("vec_id") + 10_000_000).alias("vec_id"), F.transform("embedding", lambda x: x * 1e6).alias("embedding"))
+    near = table.select((F.col("vec_id") + 20_000_000).alias("vec_id"), F.transform("embedding", lambda x: -x).alias("embedding"))
+    more = table.select("vec_id", "embedding").unionByName(far).unionByName(near)
+    rows = more.orderBy("vec_id").collect()
+    assert len(rows) > 2 * neighbours.LEAF_ROWS
+    want = brute(np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float), 20)
+    got = {}
+    for r in neighbours.search(more, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
+    hits = sum(len(got[q] & {v for v, _ in want[q]}) for q in want)
+    assert hits / (20 * len(want)) >= 0.9

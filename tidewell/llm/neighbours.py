@@ -13,7 +13,8 @@ vectors do with far less.
 Edge cases. Vectors that are null, empty, zero, of another length than most, or that hold a
 null or non-finite component take no part. Equal vectors form one class, searched once; of
 each class only the smallest ids that could reach a list are carried, which loses nothing,
-as they tie. Repeated ids are rows of their own. Fewer candidates than k: all are returned.
+as they tie. Repeated ids are rows of their own. Rows without an id are candidates and rank
+behind those they tie with. Fewer candidates than k: all are returned.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     vec = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).where(
-        F.col("vec").isNotNull() & ~F.exists("vec", bad) & F.exists("vec", lambda x: x != 0) & F.col("vec_id").isNotNull()
+        F.col("vec").isNotNull() & ~F.exists("vec", bad) & F.exists("vec", lambda x: x != 0)
     )
     sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
     return rows.join(F.broadcast(sizes.select("n")), F.size("vec") == F.col("n"), "left_semi")
@@ -120,12 +121,14 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each query row."""
     rows = materialise(usable(vectors))
-    by_vec = W.partitionBy("vec").orderBy("vec_id")
+    by_vec = W.partitionBy("vec").orderBy(F.col("vec_id").asc_nulls_last())
     firsts = rows.withColumn("_n", F.row_number().over(by_vec)).where(F.col("_n") <= k + 1)
-    ids = F.sort_array(F.collect_list("vec_id"))
+    ids = F.sort_array(F.collect_list(F.struct(F.col("vec_id").isNull().alias("no"), F.col("vec_id").alias("v"))))
+    # A class without any id takes a number from the far end; the table is written, so it stays.
+    cid = F.coalesce(F.min("vec_id"), F.lit((1 << 63) - 1) - F.monotonically_increasing_id())
     asked = rows.where(is_query).groupBy("vec").agg(F.lit(True).alias("asked"))
     classes = materialise(
-        firsts.groupBy("vec").agg(ids.alias("ids"), F.min("vec_id").alias("cid")).join(asked, "vec", "left").select("cid", "ids", "vec", F.coalesce("asked", F.lit(False)).alias("asked"))
+        firsts.groupBy("vec").agg(ids.alias("ids"), cid.alias("cid")).join(asked, "vec", "left").select("cid", "ids", "vec", F.coalesce("asked", F.lit(False)).alias("asked"))
     )
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     total, queries, most = classes.agg(F.count("*"), F.count_if("asked"), F.sqrt(F.max(norm))).first()
@@ -177,8 +180,9 @@ def search(
         for i in range(0, len(q) if n else 0, 512):
             part = q[i : i + 512] @ c.T
             top = np.argpartition(-part, n - 1, axis=1)[:, :n]
-            # All that tie with the last one, to the last digit or two, are ranked again.
-            floor = np.take_along_axis(part, top, 1).min(1) - 1e-9
+            # All that tie with the last one, up to the rounding of a sum of products, are ranked again.
+            slack = 4 * x.shape[1] * np.finfo(float).eps * most * np.linalg.norm(q[i : i + 512], axis=1)
+            floor = np.take_along_axis(part, top, 1).min(1) - slack
             for j in range(len(part)):
                 at = np.flatnonzero(part[j] >= floor[j])
                 exact = (c[at] * q[i + j]).sum(1)
@@ -197,11 +201,11 @@ def search(
     merged = found.groupBy("cid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("top"))), best_first), 1, k + 1).alias("top"))
     hits = merged.select(F.col("cid").alias("qcid"), F.explode("top").alias("hit")).select("qcid", F.col("hit.score").alias("score"), F.col("hit.cid").alias("cid"))
     members = classes.select("cid", "ids")
-    hits = hits.join(members, "cid").select("qcid", F.col("score"), F.explode("ids").alias("vec_id"))
-    listed = hits.groupBy("qcid").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))).alias("list"))
+    hits = hits.join(members, "cid").select("qcid", F.col("score"), F.explode("ids").alias("id"))
+    listed = hits.groupBy("qcid").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "id.no", "id.v")).alias("list"))
     listed = listed.select("qcid", F.slice(F.sort_array("list"), 1, 2 * k + 2).alias("list"))
     asking = rows.where(is_query).join(classes.where("asked").select("vec", F.col("cid").alias("qcid")), "vec").select(F.col("vec_id").alias("query_id"), "qcid")
-    own = F.slice(F.filter("list", lambda h: h["v"] != F.col("query_id")), 1, k)
+    own = F.slice(F.filter("list", lambda h: ~h["v"].eqNullSafe(F.col("query_id"))), 1, k)
     return (
         asking.join(listed, "qcid")
         .select("query_id", F.posexplode(own).alias("rank", "h"))
