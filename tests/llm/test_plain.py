@@ -98,6 +98,34 @@ def test_mix(spark, docs_of):
     assert mixing.mix(docs_of([])).collect() == []
 
 
+def test_mix_tells_rows_of_one_id_apart(spark):
+    rows = [(7, f"w{i} x y", "src0") for i in range(101)] + [(8, "a b c", "src1")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted((r["doc_id"], r["text"], r["copies"]) for r in mixing.mix(d, epochs=0.6).collect()) for d in (docs, docs.repartition(7))]
+    assert runs[0] == runs[1] and {c for _, _, c in runs[0]} >= {0, 1}
+
+
+def test_op4_as_registered(spark, tmp_path):
+    """The registered query against sizes, targets and words counted one by one."""
+    import re
+
+    from tidewell.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs}
+    sources = sorted({r["source"] for r in docs})
+    own = {s: sum(size[r["doc_id"]] for r in docs if r["source"] == s) for s in sources}
+    targets = mixing.share_out([own[s] for s in sources], [(5, 2, 1)[i % 3] for i in range(len(sources))], 1.5 * sum(own.values()))
+    got = queries.QUERIES["op4_mixing"](spark, sf).collect()
+    assert {r["doc_id"]: r["size"] for r in got} == size and len(got) == len(docs)
+    for s, target in zip(sources, targets, strict=True):
+        mine = [r for r in got if r["source"] == s]
+        assert all(r["source_size"] == own[s] and r["target"] == pytest.approx(target) for r in mine)
+        assert sum(r["taken"] for r in mine) == pytest.approx(target, rel=1e-3)
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
+
+
 def test_bounds_are_optimal():
     rng = np.random.default_rng(5)
     for _ in range(30):

@@ -8,7 +8,7 @@ by a seeded hash.
 
 Edge cases. Null text: size 0. A null source is a source of its own, last in order. Sources
 without words get the target 0. Documents of size 0 are taken as often as the whole passes.
-Repeated rows are separate documents. An empty table gives an empty result. Columns named
+Repeated rows are separate documents; rows of one id are told apart by their text. An empty table gives an empty result. Columns named
 like the added ones (`size`, `copies`, `target`, `source_size`) are replaced.
 """
 
@@ -103,6 +103,8 @@ def mix(docs: DataFrame, epochs: float = 1.5, weights: tuple[float, ...] = WEIGH
     """
     sized = docs.withColumn("size", n_words(F.col("text").cast("string")) if size is None else size)
     sized = sized.drop("copies", "target", "source_size")
+    told = ["doc_id", "text"] if "text" in docs.columns else ["doc_id"]
+    sized = sized.withColumn("_mark", F.xxhash64(F.lit(seed), *told))
     histogram = sized.groupBy("source", "size").agg(F.count("*").alias("_n"))
     totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("s")).collect()
     totals = sorted(totals, key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -130,10 +132,9 @@ def mix(docs: DataFrame, epochs: float = 1.5, weights: tuple[float, ...] = WEIGH
     planned = join_null_safe(sized, fitted, ["source", "size"])
 
     # Ranks by seeded hash inside a length; a frequent length is cut into ranges of the hash.
-    mark = F.xxhash64(F.lit(seed), F.col("doc_id"))
     parts = F.ceil(F.col("_n") / BUCKET_ROWS)
     ranked = row_number(
-        planned.withColumn("_mark", mark), ["source", "size"], ["_mark", "doc_id"],
+        planned, ["source", "size"], ["_mark", "doc_id"],
         F.floor((F.shiftright(F.col("_mark"), 32) + F.lit(1 << 31)) * parts / F.lit(1 << 32)), "_rank",
     )
     copies = F.col("_passes") + F.when(F.col("_rank") <= F.col("_extra"), 1).otherwise(0)
