@@ -304,6 +304,14 @@ def test_iterative_search(spark):
     assert steps == {1: 1, 2: 2, 3: 2}
     assert [r["chunk_id"] for r in out if r["query_id"] == 1] == ["a0", "a1"]
     assert {r["chunk_id"]: r["rrf_score"] for r in out if r["query_id"] == 3}["b1"] == 0.5
+    found = search.iterative_batch(queries, corpus, decisions)
+    rows = found.hits.orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["chunk_id"], r["rank"], r["steps"]) for r in rows] == [(r["query_id"], r["chunk_id"], r["new_rank"], r["steps"]) for r in out]
+    assert {(r["chunk_id"][0] + ".txt", r["content"].split()[0]) for r in rows} == {(r["filename"], r["chunk_id"][0]) for r in rows}
+    contexts = {r["query_id"]: r["context"] for r in found.contexts.collect()}
+    assert contexts[1] == "[1] (file: a.txt) a word0\n\n[2] (file: a.txt) a word1" and "(file: b.txt) b word1" in contexts[3]
+    logs = {r["query_id"]: (r["chunks_retrieved"], r["retrieval_k"], r["rerank_applied"], r["hyde_applied"]) for r in found.logs.collect()}
+    assert logs == {q: (sum(r["query_id"] == q for r in out), k, True, False) for q, k in ((1, 2), (2, 2), (3, 20))}
 
 
 def test_expansion_keeps_four_with_own_query_first(spark):

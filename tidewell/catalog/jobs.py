@@ -192,22 +192,40 @@ def search_expanded(spark, sf):
     return found.hits.select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
-@query("iterative_search")
-def iterative_search(spark, sf):
-    queries = _queries(spark, sf)
+def _decisions(spark, sf):
+    """Of three queries one searches on with its neighbour's text, one reads a file, one answers."""
     expansions, _ = _model_tables(spark, sf)
     kind = F.col("query_id") % 3
     ask = F.to_json(F.struct(F.lit("search").alias("decision"), F.col("q").alias("search_query")))
     read = F.to_json(F.struct(F.lit("read").alias("decision"), F.lit("src1").alias("filename")))
-    decisions = expansions.select(
+    return expansions.select(
         "query_id", F.lit(1).alias("step"),
         F.when(kind == 0, ask).when(kind == 1, read).otherwise('{"decision": "answer"}').alias("reply"),
         F.col("q_embedding").alias("reply_embedding"),
     )
-    out = search.iterative_search(queries, corpus(spark, sf), decisions)
+
+
+@query("iterative_search")
+def iterative_search(spark, sf):
+    out = search.iterative_search(_queries(spark, sf), corpus(spark, sf), _decisions(spark, sf))
     return out.select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "new_rank", "steps")
 
 
+@query("iterative_sources")
+def iterative_sources(spark, sf):
+    found = search.iterative_batch(_queries(spark, sf), corpus(spark, sf), _decisions(spark, sf))
+    named = found.contexts.select("query_id", F.md5("context").alias("context_md5"))
+    return found.hits.join(named, "query_id").select(
+        "query_id", "chunk_id", "rank", F.round("score", 9).alias("score"), "document_id", "filename", "steps",
+        F.md5("content").alias("content_md5"), "context_md5",
+    )
+
+
+@query("iterative_log")
+def iterative_log(spark, sf):
+    return search.iterative_batch(_queries(spark, sf), corpus(spark, sf), _decisions(spark, sf)).logs
+
+
 @query("optimised_runs")
 def optimised_runs(spark, sf):
     """Every order a run; a variant gains a little on its round's score."""
