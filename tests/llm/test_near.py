@@ -123,6 +123,23 @@ def test_recall(spark):
         assert all(abs(scores.get(v, s) - s) < 1e-12 for v, s in found.values())
 
 
+def test_leaves_of_a_cell_are_ranked_together():
+    """One short list per query and cell, whatever the number of leaves; ties go to the smaller class."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, size=(600, 3)).astype(float)
+    leaf, own, q = rng.integers(0, 4, 600), rng.permutation(600), rng.normal(size=(700, 3))
+    opened = rng.integers(0, 16, 700)
+    most = np.sqrt((x * x).sum(1).max())
+    leaves = [(bit, x[leaf == bit], own[leaf == bit]) for bit in range(4)]
+    who, cid, score = neighbours.best_of_leaves(q, opened, leaves, 5, most)
+    for i in range(700):
+        there = np.flatnonzero(opened[i] >> leaf & 1)
+        s = (x[there] * q[i]).sum(1)
+        order = np.lexsort((own[there], -s))[:5]
+        assert cid[who == i].tolist() == own[there][order].tolist()
+        assert score[who == i].tolist() == s[order].tolist()
+
+
 def test_neighbours_odd_rows(spark):
     rng = np.random.default_rng(0)
     good = [(i, rng.normal(size=4).tolist()) for i in range(40)]

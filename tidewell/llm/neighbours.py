@@ -28,11 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.functions.ordered import newest
 from tidewell.session import materialise
 
 TREES, LEAF_ROWS, SAMPLE_ROWS, SHARE = 2, 2048, 16_384, 0.62
-#: Queries that meet in one leaf task, at most.
+#: Queries that meet in one cell of leaves, at most.
 QUERY_ROWS = 65_536
+#: Neighbouring leaves that one task ranks together, at most.
+CELL_LEAVES = 8
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -99,8 +102,20 @@ def leaf_of(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def open_leaves(forest: list[list[tuple]], query: np.ndarray, pops: int) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order the shared queue yields them."""
+def beyond_splits(forest: list[list[tuple]], queries: np.ndarray) -> list[np.ndarray]:
+    """Per tree, how far each query lies above the split of each node; 0 at leaves."""
+    out = []
+    for nodes in forest:
+        inner = [i for i, parts in enumerate(nodes) if len(parts) > 1]
+        far = np.zeros((len(queries), len(nodes)))
+        if inner:
+            far[:, inner] = queries @ np.array([nodes[i][0] for i in inner]).T - np.array([nodes[i][1] for i in inner])
+        out.append(far)
+    return out
+
+
+def open_leaves(forest: list[list[tuple]], beyond: list[list[float]], pops: int) -> list[tuple[int, int]]:
+    """(tree, leaf) in the order the shared queue yields them, from a query's row of `beyond_splits`."""
     queue, found = [(0.0, t, 0) for t in range(len(forest))], []
     while queue and len(found) < pops:
         far, tree, node = heapq.heappop(queue)
@@ -108,14 +123,52 @@ def open_leaves(forest: list[list[tuple]], query: np.ndarray, pops: int) -> list
         if len(parts) == 1:
             found.append((tree, parts[0]))
             continue
-        direction, split, low, high = parts
-        beyond = float(query @ direction) - split
-        near, other = (low, high) if beyond <= 0 else (high, low)
+        past = beyond[tree][node]
+        near, other = (parts[2], parts[3]) if past <= 0 else (parts[3], parts[2])
         heapq.heappush(queue, (far, tree, near))
-        heapq.heappush(queue, (far + beyond * beyond, tree, other))
+        heapq.heappush(queue, (far + past * past, tree, other))
     return found
 
 
+def best_of_leaves(q: np.ndarray, opened: np.ndarray, leaves: list[tuple[int, np.ndarray, np.ndarray]], m: int, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, class, score) of the `m` best classes of each query in the leaves it has opened.
+
+    opened: a bit per leaf. leaves: (bit, vectors, classes). What a leaf adds must reach the
+    m-th score so far, so later leaves keep few rows.
+    """
+    # All that tie with the last one, up to the rounding of a sum of products, are ranked again.
+    slack = 4 * q.shape[1] * np.finfo(float).eps * most * np.linalg.norm(q, axis=1) if len(q) else np.zeros(0)
+    floor = np.full(len(q), -np.inf)
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    kept, pending = [empty], 0
+
+    def cut() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        who, cid, score = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((cid, -score, who))
+        who, cid, score = who[order], cid[order], score[order]
+        first = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, int)
+        place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+        last = place == m - 1
+        floor[who[last]] = score[last]
+        return tuple(x[place < m] for x in (who, cid, score))
+
+    for bit, c, own in leaves:
+        asking = np.flatnonzero(opened >> bit & 1)
+        for i in range(0, len(asking), 512):
+            who = asking[i : i + 512]
+            part = q[who] @ c.T
+            least = floor[who]
+            fresh = least == -np.inf
+            if len(own) > m and fresh.any():
+                least[fresh] = np.partition(part[fresh], len(own) - m, axis=1)[:, len(own) - m]
+            r, at = np.nonzero(part >= (least - slack[who])[:, None])
+            kept.append((who[r], own[at], (c[at] * q[who[r]]).sum(1)))
+            pending += len(r)
+        if pending > max(len(kept[0][0]), 1 << 16):
+            kept, pending = [cut()], 0
+    return cut()
+
+
 def search(
     vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREES, leaf_rows: int = LEAF_ROWS, share: float = SHARE, seed: int = 17
 ) -> DataFrame:
@@ -144,7 +197,8 @@ def search(
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    schema = "tree int, leaf int, part int, query boolean, cid long, vec array<double>"
+    per_cell = min(CELL_LEAVES, max(1, trees * leaves // (4 * vectors.sparkSession.sparkContext.defaultParallelism)))
+    schema = "tree int, cell int, part int, query boolean, leaves int, cid long, vec array<double>"
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,52 +208,42 @@ def search(
             out = []
             high = _lift(x, most)
             for tree, nodes in enumerate(forest):
-                leaf = leaf_of(nodes, high)
-                out += [(np.full(len(x), tree), leaf, np.full(len(x), part), np.zeros(len(x), bool), np.arange(len(x))) for part in range(groups)]
-            for i in np.flatnonzero(asks):
-                opened = np.array(open_leaves(forest, np.append(x[i], 0.0), pops)).reshape(-1, 2)
-                n = len(opened)
-                out.append((opened[:, 0], opened[:, 1], np.full(n, cid[i] // 7 % groups), np.ones(n, bool), np.full(n, i)))
-            tree, leaf, part, asking, at = (np.concatenate([o[j] for o in out]) for j in range(5))
+                cell, leaf = np.divmod(leaf_of(nodes, high), per_cell)
+                out += [(np.full(len(x), tree), cell, np.full(len(x), part), np.zeros(len(x), bool), leaf, np.arange(len(x))) for part in range(groups)]
+            asking = np.flatnonzero(asks)
+            for s in range(0, len(asking), 1024):
+                who = asking[s : s + 1024]
+                beyond = [far.tolist() for far in beyond_splits(forest, np.concatenate([x[who], np.zeros((len(who), 1))], 1))]
+                for j, i in enumerate(who.tolist()):
+                    # A query goes once to a cell, with a bit per leaf it opens there.
+                    bits: dict[tuple[int, int], int] = {}
+                    for tree, leaf in open_leaves(forest, [far[j] for far in beyond], pops):
+                        key = (tree, leaf // per_cell)
+                        bits[key] = bits.get(key, 0) | 1 << leaf % per_cell
+                    n, to = len(bits), np.array(list(bits)).reshape(-1, 2)
+                    out.append((to[:, 0], to[:, 1], np.full(n, cid[i] // 7 % groups), np.ones(n, bool), np.array(list(bits.values())), np.full(n, i)))
+            tree, cell, part, query, leaf, at = (np.concatenate([o[j] for o in out]) for j in range(6))
             for s in range(0, len(at), 8192):
                 p = slice(s, s + 8192)
+                ints = [pa.array(c[p].astype(np.int32)) for c in (tree, cell, part, leaf)]
                 yield pa.record_batch(
-                    [tree[p].astype(np.int32), leaf[p].astype(np.int32), part[p].astype(np.int32), pa.array(asking[p]), cid[at[p]], batch.column("vec").take(pa.array(at[p]))],
-                    names=["tree", "leaf", "part", "query", "cid", "vec"],
+                    [*ints[:3], pa.array(query[p]), ints[3], pa.array(cid[at[p]]), batch.column("vec").take(pa.array(at[p]))],
+                    names=["tree", "cell", "part", "query", "leaves", "cid", "vec"],
                 )
 
-    item = pa.struct({"score": pa.float64(), "cid": pa.int64()})
-
     def rank(table: pa.Table) -> pa.Table:
         asking = table.column("query").to_numpy()
-        x, cid = matrix(table.column("vec")), table.column("cid").to_numpy()
-        q, qid, c, own = x[asking], cid[asking], x[~asking], cid[~asking]
-        order = np.argsort(own)
-        c, own = c[order], own[order]
-        ids, scores, n = [], [], min(len(own), k + 1)
-        for i in range(0, len(q) if n else 0, 512):
-            part = q[i : i + 512] @ c.T
-            top = np.argpartition(-part, n - 1, axis=1)[:, :n]
-            # All that tie with the last one, up to the rounding of a sum of products, are ranked again.
-            slack = 4 * x.shape[1] * np.finfo(float).eps * most * np.linalg.norm(q[i : i + 512], axis=1)
-            floor = np.take_along_axis(part, top, 1).min(1) - slack
-            for j in range(len(part)):
-                at = np.flatnonzero(part[j] >= floor[j])
-                exact = (c[at] * q[i + j]).sum(1)
-                best = np.lexsort((own[at], -exact))[:n]
-                ids.append(own[at][best])
-                scores.append(exact[best])
-        if not ids:
-            return pa.table({"cid": pa.array([], pa.int64()), "top": pa.array([], pa.list_(item))})
-        flat = pa.StructArray.from_arrays([np.concatenate(scores), np.concatenate(ids)], fields=list(item))
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        return pa.table({"cid": qid, "top": pa.ListArray.from_arrays(ends, flat)})
-
-    found = classes.mapInArrow(index, schema).groupBy("tree", "leaf", "part").applyInArrow(rank, "cid long, top array<struct<score:double,cid:long>>")
-    # Best classes of a query class over all leaves; a class found in two trees counts once.
-    best_first = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["cid"] < b["cid"], -1).when(a["cid"] > b["cid"], 1).otherwise(0)
-    merged = found.groupBy("cid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("top"))), best_first), 1, k + 1).alias("top"))
-    hits = merged.select(F.col("cid").alias("qcid"), F.explode("top").alias("hit")).select("qcid", F.col("hit.score").alias("score"), F.col("hit.cid").alias("cid"))
+        x, cid, leaf = matrix(table.column("vec")), table.column("cid").to_numpy(), table.column("leaves").to_numpy()
+        c, own, at = x[~asking], cid[~asking], leaf[~asking]
+        there = [(int(bit), c[at == bit], own[at == bit]) for bit in np.unique(at)]
+        who, best, score = best_of_leaves(x[asking], leaf[asking], there, k + 1, most)
+        return pa.table({"qcid": cid[asking][who], "cid": best, "score": score})
+
+    found = classes.mapInArrow(index, schema).groupBy("tree", "cell", "part").applyInArrow(rank, "qcid long, cid long, score double")
+    # Best classes of a query class over all cells; a class found in several trees counts once.
+    near = [F.col("score").desc(), F.col("cid")]
+    once = newest(found, ["qcid"], near, trees * (k + 1)).groupBy("qcid", "cid").agg(F.max("score").alias("score"))
+    hits = newest(once, ["qcid"], near, k + 1).select("qcid", "score", "cid")
     members = classes.select("cid", "ids")
     hits = hits.join(members, "cid").select("qcid", F.col("score"), F.explode("ids").alias("id"))
     listed = hits.groupBy("qcid").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "id.no", "id.v")).alias("list"))
