@@ -314,6 +314,29 @@ def test_iterative_search(spark):
     assert logs == {q: (sum(r["query_id"] == q for r in out), k, True, False) for q, k in ((1, 2), (2, 2), (3, 20))}
 
 
+def test_reading_a_long_file_meets_each_query_with_its_first_chunks(spark):
+    """Without scores the rows stay few per query, and the lists are those of the whole file."""
+    from tidewell.operators.postings import build_postings
+
+    rows = [(i, 0, i, f"word{i}", [1.0, i / 400], i % 7) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "chunk_id int, pipeline_id int, document_id int, content string, embedding array<double>, chunk_index int")
+    docs = spark.createDataFrame([(i, 0, "long" if i % 2 else "else") for i in range(400)], "document_id int, pipeline_id int, filename string")
+    queries = spark.createDataFrame([(q, 0, "none", [1.0, q / 60], 1 + q % 4) for q in range(60)], "query_id int, pipeline_id int, q string, q_embedding array<double>, top_k int")
+    requests = queries.select("query_id", "pipeline_id", F.lit("long").alias("filename"), "top_k")
+    had = spark.createDataFrame([(q, c) for q in range(60) for c in (399, 398)], "query_id int, chunk_id int")
+    got = fusion.first_of_files(requests, had, chunks.drop("pipeline_id"), docs).collect()
+    order = sorted((i for i in range(400) if i % 2), key=lambda i: (i % 7, i))
+    for q in range(60):
+        want = {*order[: 2 * (1 + q % 4)], 399}
+        assert {(r["chunk_id"], r["rank"], r["rrf_score"]) for r in got if r["query_id"] == q} == {(c, c % 7 + 1, 0.5) for c in want}
+    decisions = queries.select("query_id", F.lit(1).alias("step"), F.lit('{"decision": "read", "filename": "long"}').alias("reply"), "q_embedding")
+    decisions = decisions.withColumnRenamed("q_embedding", "reply_embedding")
+    corpus = search.Corpus(chunks, build_postings(chunks, keep=["pipeline_id"]), docs)
+    none = spark.createDataFrame([], "query_id int, chunk_id int, relevance double")
+    few, whole = (search.iterative_search(queries, corpus, decisions, scores).drop("score") for scores in (None, none))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_expansion_keeps_four_with_own_query_first(spark):
     queries = spark.createDataFrame([(1, "p", "q", [1.0])], "query_id int, pipeline_id string, q string, q_embedding array<double>")
     more = spark.createDataFrame([(1, i, f"e{i}", [1.0]) for i in range(5)], "query_id int, pos int, q string, q_embedding array<double>")
