@@ -146,3 +146,21 @@ def test_only_slim_rows_are_shuffled(spark, tmp_path):
     stream = spark.readStream.schema(wide.schema).parquet(str(tmp_path / "in"))
     plan = drift_rows(stream)._jdf.queryExecution().analyzed().toString()
     assert "TransformWithState" in plan and "notes" not in plan[plan.index("TransformWithState"):].split("Project")[1].split("\n")[0]
+
+
+def test_a_delivery_of_many_files_is_one_batch(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidewell.catalog import jobs
+
+    orders = spark.range(0, 60, 1, 4).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 5).alias("o_custkey"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id as int))").alias("o_orderdate"),
+        (F.col("id") * 37.5).alias("o_totalprice"), F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), (F.col("id") % 3 + 1).cast("int")).alias("o_orderstatus"),
+        F.lit("1").alias("o_orderpriority"),
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(jobs, "scratch", lambda _: f"{tmp_path}/base")
+    assert jobs.streamed_drift(spark, str(tmp_path)).count() == 5
+    assert len(list((tmp_path / "base" / "in").glob("*.parquet"))) > 3
+    assert sorted(p.name for p in (tmp_path / "base" / "ckpt" / "commits").iterdir() if p.name.isdigit()) == ["0", "1", "2"]
