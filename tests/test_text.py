@@ -265,3 +265,31 @@ def test_ts_rank(one):
     near = [0.1 * math.sqrt(1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))) for d in (1, 4)]
     assert one(ts_rank(lists([3], [4, 7]))) == pytest.approx(1 - (1 - near[0]) * (1 - near[1]))
     assert one(ts_rank(lists([3], [3000]))) == 0.0
+
+
+def test_each_word_is_stemmed_once(spark, monkeypatch):
+    from tidewell.operators import postings
+
+    stemmed = []
+
+    def counting(df, word, out):
+        stemmed.append(df.where(df[word].isNotNull()).count())
+        return stem_words(df, word, out)
+
+    stem_words = postings.stem_words
+    monkeypatch.setattr(postings, "stem_words", counting)
+    texts = ["fishes fishing fishes", "fishes birds", None, ""]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, content string")
+
+    def built():
+        found = postings.build_postings(chunks, stem=True, positions=True)
+        return sorted((r["chunk_id"], r["term"], r["tf"], r["n_terms"], r["positions"]) for r in found.collect())
+
+    expected = [(0, "fish", 3, 3, [1, 2, 3]), (1, "bird", 1, 2, [2]), (1, "fish", 1, 2, [1])]
+    assert built() == expected
+    assert sum(stemmed) == 3
+    # Words that are too rare to be kept at hand get the same stems.
+    monkeypatch.setattr(postings, "STEM_WORDS", 2)
+    assert built() == expected
+    monkeypatch.setattr(postings, "STEM_WORDS", 0)
+    assert built() == expected
