@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewell.sources import crawl, files, html, tabular, transcripts, workspace
@@ -129,3 +130,23 @@ def test_crawl(spark):
     assert got == {
         ("http://h/a", 0, True), ("http://h/b", 1, True), ("http://h/c", 1, True), ("http://h/d", 2, True), ("http://h/e", 3, True),
     }
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    from tidewell.catalog.registry import QUERIES, query
+    from tidewell.session import BATCH_BYTES
+
+    @F.pandas_udf("long")
+    def beside(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    def longest(spark, sf):
+        pages = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 1 << 19).alias("html"))
+        return pages.select(beside("html").alias("n"))
+
+    try:
+        query("_longest")(longest)
+        most = QUERIES["_longest"](spark, "").agg(F.max("n")).first()[0]
+    finally:
+        QUERIES.pop("_longest", None)
+    assert most <= 2 * BATCH_BYTES >> 19
