@@ -175,3 +175,12 @@ def test_neighbours_as_registered(spark):
     assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
     hits = sum(len(got[q] & {v for v, _ in want[q]}) for q in want)
     assert hits / (20 * len(want)) >= 0.9
+
+
+def test_cells_do_not_follow_the_leaves():
+    """With more leaves the cells grow, not the number of lists a query gets back."""
+    for cores in (6, 8):
+        for leaves in (24, 52, 260, 600):
+            cells = -(-leaves // neighbours.leaves_of_cell(leaves, cores))
+            assert cells <= 2 * cores
+            assert neighbours.leaves_of_cell(leaves, cores) < 63

@@ -34,8 +34,8 @@ from tidewell.session import materialise
 TREES, LEAF_ROWS, SAMPLE_ROWS, SHARE = 2, 2048, 16_384, 0.62
 #: Queries that meet in one cell of leaves, at most.
 QUERY_ROWS = 65_536
-#: Neighbouring leaves that one task ranks together, at most.
-CELL_LEAVES = 8
+#: Neighbouring leaves that one task ranks together, at most; a query holds a bit for each.
+CELL_LEAVES = 62
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -169,6 +169,15 @@ def best_of_leaves(q: np.ndarray, opened: np.ndarray, leaves: list[tuple[int, np
     return cut()
 
 
+def leaves_of_cell(leaves: int, cores: int) -> int:
+    """Leaves that share a cell, so that some two cells a core hold all of them.
+
+    Each cell lists its best for a query, so what the cells let out for one query stays the
+    same while the cells grow, and does not follow the number of leaves.
+    """
+    return min(CELL_LEAVES, max(1, -(-leaves // (2 * cores))))
+
+
 def search(
     vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREES, leaf_rows: int = LEAF_ROWS, share: float = SHARE, seed: int = 17
 ) -> DataFrame:
@@ -197,8 +206,8 @@ def search(
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    per_cell = min(CELL_LEAVES, max(1, trees * leaves // (4 * vectors.sparkSession.sparkContext.defaultParallelism)))
-    schema = "tree int, cell int, part int, query boolean, leaves int, cid long, vec array<double>"
+    per_cell = leaves_of_cell(trees * leaves, vectors.sparkSession.sparkContext.defaultParallelism)
+    schema = "tree int, cell int, part int, query boolean, leaves long, cid long, vec array<double>"
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,9 +234,9 @@ def search(
             tree, cell, part, query, leaf, at = (np.concatenate([o[j] for o in out]) for j in range(6))
             for s in range(0, len(at), 8192):
                 p = slice(s, s + 8192)
-                ints = [pa.array(c[p].astype(np.int32)) for c in (tree, cell, part, leaf)]
+                ints = [pa.array(c[p].astype(np.int32)) for c in (tree, cell, part)]
                 yield pa.record_batch(
-                    [*ints[:3], pa.array(query[p]), ints[3], pa.array(cid[at[p]]), batch.column("vec").take(pa.array(at[p]))],
+                    [*ints, pa.array(query[p]), pa.array(leaf[p].astype(np.int64)), pa.array(cid[at[p]]), batch.column("vec").take(pa.array(at[p]))],
                     names=["tree", "cell", "part", "query", "leaves", "cid", "vec"],
                 )
 
