@@ -237,3 +237,14 @@ def test_optimised_runs_go_on_to_the_fixed_point(spark, monkeypatch):
     rows = seen[0].runs.select("run_id", "rounds", "outcome", "config").collect()
     assert len({r["run_id"] for r in rows}) == len(rows) and max(r["rounds"] for r in rows) > 3
     assert {r["config"]["top_k"] for r in rows if r["outcome"] == "stopped"} <= {str(K.MAX_TOP_K)}
+
+
+def test_sources_normalise_a_text_once_however_often_it_is_hit(spark, corpus):
+    top = spark.createDataFrame(
+        [(q, c, 1, 0.0, 0.5) for q in (1, 2, 3) for c in ("a0", "b0")],
+        "query_id int, chunk_id string, new_rank int, score double, rrf_score double",
+    )
+    found = search.attach_sources(top, corpus)
+    assert found.count() == 6 and found.columns[:2] == ["query_id", "chunk_id"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("regexp_replace")
