@@ -396,3 +396,17 @@ def test_positions_are_whole_unless_limits_are_asked(spark):
     df = spark.createDataFrame([(1, "zebra " * 300)], "chunk_id int, content string")
     sizes = [build_postings(df, positions=True, pg_limits=p).first()["positions"] for p in (False, True)]
     assert [len(s) for s in sizes] == [300, 256]
+
+
+def test_short_lists_are_numbered_without_totals_of_buckets(spark):
+    rows = [(q, c, r) for q in (1, 2, None) for r, c in enumerate("dbca", 1)]
+    a = spark.createDataFrame(rows, "query_id int, chunk_id string, rank int")
+    b = a.where("chunk_id > 'a'").withColumn("chunk_id", F.concat("chunk_id", F.lit("x")))
+    merged = fusion.merge_first_wins([a, b])
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" in plan
+    cut = fusion.merge_first_wins([a, b], bucket_rows=2)
+    order = ["query_id", "pos"]
+    with_null = merged.where("query_id IS NULL").orderBy("pos").collect()
+    assert [r["chunk_id"] for r in with_null] == ["d", "b", "c", "a", "dx", "bx", "cx"]
+    assert merged.orderBy(*order).collect() == cut.orderBy(*order).collect()
