@@ -248,3 +248,28 @@ def test_sources_normalise_a_text_once_however_often_it_is_hit(spark, corpus):
     assert found.count() == 6 and found.columns[:2] == ["query_id", "chunk_id"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("regexp_replace")
+
+
+def test_the_history_of_scores_is_read_once_for_all_rounds(spark, monkeypatch):
+    schema = "run_id int, pipeline_id string, config map<string,string>, approval_mode string"
+    runs = spark.createDataFrame([(1, "p", {"top_k": "5"}, "human_in_loop")], schema)
+    history = spark.createDataFrame(
+        [("p", 90 + i, datetime(2024, 1, 1 + i), 0.5) for i in range(3)],
+        "pipeline_id string, run_id int, created_at timestamp_ntz, unified_score double",
+    )
+    deployments = spark.createDataFrame(
+        [], "deployment_id long, pipeline_id string, run_id int, activated_at timestamp_ntz, status string,"
+        " previous_deployment long, unified_score double",
+    )
+
+    def evaluate(rows, turn):
+        return rows.select(
+            "run_id", F.lit(0.55 + 0.1 * turn).alias("unified_score"), F.lit(0.9).alias("faithfulness"),
+            F.lit(turn > 1).alias("deploy_eligible"), F.array(F.lit(K.HINT_RECALL)).alias("diagnosis"),
+        )
+
+    calls, real = [], optimise.drift.score_drift
+    monkeypatch.setattr(optimise.drift, "score_drift", lambda *a: calls.append(1) or real(*a))
+    out = optimise.evaluate_and_decide(runs, evaluate, history, deployments)
+    assert [(r["outcome"], r["rounds"]) for r in out.runs.collect()] == [("deployed", 2)]
+    assert len(calls) == 1
