@@ -87,6 +87,18 @@ def test_answer_blocks(one):
     ]
 
 
+def test_answer_blocks_of_a_long_answer(spark, one):
+    answer = "\n".join(line for i in range(400) for line in (f"p{i}", f"- a{i}", f"* b{i}", "", f"{i}. c{i}", " "))
+    got = one(text.answer_blocks(F.col("t")), t=answer)
+    want = [b for i in range(400) for b in (("p", [f"p{i}"]), ("ul", [f"a{i}", f"b{i}"]), ("ol", [f"c{i}"]))]
+    assert [(b["type"], b["items"]) for b in got] == want
+    assert one(text.answer_blocks(F.lit(None).cast("string"))) is None
+    assert one(text.answer_blocks(F.lit(" \n"))) == []
+    # Lines are found once: an expression that is named again inside a lambda runs once per line.
+    plan = spark.range(1).select(text.answer_blocks(F.col("id").cast("string")).alias("b"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
+
+
 def test_excerpt(one):
     assert one(text.excerpt_heading(F.col("t")), t="## **Abstract**\nbody") == "Abstract"
     assert one(text.excerpt_body(F.col("t")), t="## **Abstract**\n body ") == "body"
