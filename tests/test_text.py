@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,18 @@ def _mask(spark, value, **options):
     return row["masked"], row["pii_count"]
 
 
+def test_mask_of_a_long_run_without_findings(spark):
+    # The pattern of addresses looks on from every letter to the end of a run.
+    began = time.perf_counter()
+    assert _mask(spark, "a" * 200_000) == ("a" * 200_000, 0)
+    assert time.perf_counter() - began < 20
+    assert _mask(spark, "\u0663" * 8) == ("[PHONE]", 1)
+    assert _mask(spark, "b@c.de b@c.de 4111 1111 1111 1111 at 10.0.0.1", order=("credit_card", "email", "ip")) == (
+        "[EMAIL] [EMAIL] [CREDIT_CARD] at [IP]", 4,
+    )
+    assert _mask(spark, None) == (None, 0)
+
+
 def test_mask(spark):
     assert _mask(spark, "write to jo.ann@example.com from 10.20.30.40") == ("write to [EMAIL] from [IP]", 2)
     # The phone rule comes first and leaves one digit of a card.
