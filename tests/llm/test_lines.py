@@ -198,3 +198,21 @@ def test_line_bands_are_those_of_the_line_alone():
     alone = [lines.Lines(pa.array([x])) for t in texts for x in t.split("\n")]
     assert (found.bands() == np.concatenate([x.bands() for x in alone])).all()
     assert found.keys().to_pylist() == [x.keys().to_pylist()[0] for x in alone]
+
+
+def test_candidates_look_at_texts_once(monkeypatch):
+    """Lines are signed in one pass; of a second one only blocks with a wanted line are decoded."""
+    texts = [f"line {i} of a text\nénd {i % 3}\n\n{'x' * 2000}" for i in range(200)]
+    docs = pa.table({"doc_id": list(range(200)), "text": texts})
+    made = []
+    plain = lines.Lines.__init__
+    monkeypatch.setattr(lines.Lines, "__init__", lambda self, column: (made.append(len(column)), plain(self, column))[1])
+    signed = lines._signed(docs)
+    assert sum(made) == 200 and len(made) > 1
+    wanted = np.array([0, 2, len(signed.key) - 1])
+    keys, found = lines._texts(docs, signed, wanted)
+    assert found == ["line 0 of a text", "x" * 2000, "line 199 of a text"] and sum(made) == 200
+    every = lines.Lines(pa.array(texts))
+    known = dict(zip(every.keys().to_pylist(), (every.points[i:j].tobytes().decode("utf-32-le") for i, j in zip(every.starts, every.ends))))
+    assert [known[k] for k in keys] == found
+    assert lines._texts(docs, signed, wanted[:0]) == ([], [])

@@ -20,6 +20,7 @@ result. Columns named like the added ones do not disturb; other columns pass thr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +36,25 @@ SHINGLE, BANDS, ROWS, SIMILARITY, GROUP = 8, 10, 4, 0.8, 512
 _BINS = BANDS * ROWS
 _NONE = np.uint32(0xFFFFFFFF)
 _CELLS = 1 << 22
+#: Bytes of a block of texts; its arrays of eight bytes a character stay in a core's cache.
+_BLOCK = 1 << 17
 
 
-def shingle_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts laid end to end, and their offsets."""
+    data, offsets = flat(column)
+    inner = np.flatnonzero((data & 0xC0) == 0x80)
+    if not len(inner):
+        return data.astype(np.uint32), offsets
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    return points, offsets - np.searchsorted(inner, offsets)
+
+
+def shingle_hashes(rolling: Rolling, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of the given stretches, and the stretch of each, in order.
 
     A stretch shorter than a shingle is one shingle.
     """
-    rolling = Rolling(points)
     grams = rolling.grams(SHINGLE)
     mark = np.zeros(len(grams) + 1, np.int32)
     long = np.flatnonzero(ends - starts >= SHINGLE)
@@ -62,45 +74,42 @@ class Lines:
     """Lines with a word in a block of texts: row, number in the row, key, code points."""
 
     def __init__(self, column: pa.Array):
-        data, offsets = flat(column)
-        self.points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        offsets = lead[offsets]
+        self.points, offsets = code_points(column)
         starts, ends = runs(self.points != 0x0A, offsets)
         row = np.searchsorted(offsets, starts, "right") - 1
-        newlines = np.concatenate([[0], np.cumsum(self.points == 0x0A)])
-        number = newlines[starts] - newlines[offsets[row]]
-        letters = np.concatenate([[0], np.cumsum(~IS_SPACE[np.minimum(self.points, 0x7F)])])
-        full = letters[ends] > letters[starts]
+        newlines = np.flatnonzero(self.points == 0x0A)
+        number = np.searchsorted(newlines, starts) - np.searchsorted(newlines, offsets[row])
+        letter = ~IS_SPACE[np.minimum(self.points, 0x7F)]
+        # From one start to the next stand the line and newlines, which are no letters.
+        full = np.logical_or.reduceat(letter, starts) if len(starts) else np.zeros(0, bool)
         self.row, self.number, self.starts, self.ends = row[full], number[full], starts[full], ends[full]
-        self.key = Rolling(self.points, 0).span(self.starts, self.ends)
-        self.check = Rolling(self.points, 1).span(self.starts, self.ends)
+        self.rolling = Rolling(self.points, 0)
+        self.key = self.rolling.span(self.starts, self.ends)
 
     def keys(self) -> pa.Array:
-        both = np.stack([self.key.byteswap(), self.check.byteswap()], 1).tobytes()
+        check = Rolling(self.points, 1).span(self.starts, self.ends)
+        both = np.stack([self.key.byteswap(), check.byteswap()], 1).tobytes()
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(self.key), [None, pa.py_buffer(both)]).cast(pa.binary())
 
-    def text(self, i: int) -> str:
-        return self.points[self.starts[i] : self.ends[i]].tobytes().decode("utf-32-le")
-
-    def bands(self) -> np.ndarray:
-        """Band hashes, one row of BANDS per line."""
-        n = len(self.starts)
-        hashes, line = shingle_hashes(self.points, self.starts, self.ends)
+    def bands(self, of: np.ndarray | None = None) -> np.ndarray:
+        """Band hashes, one row of BANDS per line of `of` (all, if not given)."""
+        of = np.arange(len(self.key)) if of is None else of
+        n = len(of)
+        hashes, line = shingle_hashes(self.rolling, self.starts[of], self.ends[of])
         bin_ = ((hashes >> np.uint64(32)) * np.uint64(_BINS)) >> np.uint64(32)
-        value = (hashes & np.uint64(0xFFFFFFFE)).astype(np.uint32)
+        value = hashes.astype(np.uint32) & np.uint32(0xFFFFFFFE)
         least = np.full(n * _BINS, _NONE, np.uint32)
-        np.minimum.at(least, line * _BINS + bin_.astype(np.int64), value)
+        np.minimum.at(least, line * _BINS + bin_.view(np.int64), value)
         least = least.reshape(n, _BINS)
-        sign, empty = least.astype(np.uint64), least == _NONE
-        # An empty bin borrows from the next full one, marked with the distance.
-        for step in range(1, _BINS):
-            if not empty.any():
-                break
-            other = np.roll(least, -step, 1)
-            use = empty & (other != _NONE)
-            sign[use] = mix(other[use].astype(np.uint64) + np.uint64(step << 33))
-            empty &= ~use
+        # An empty bin borrows from the next full one, marked with the distance; bins go round.
+        empty, place = least == _NONE, np.arange(_BINS, dtype=np.int8)
+        own = np.where(empty, np.int8(2 * _BINS), place)
+        again = np.where(empty, np.int8(2 * _BINS), place + np.int8(_BINS))
+        nearest = np.minimum.accumulate(np.concatenate([own, again], 1)[:, ::-1], 1)[:, ::-1][:, :_BINS]
+        who, bin_ = np.nonzero(empty)
+        source = nearest[who, bin_].astype(np.int64)
+        sign = least.astype(np.uint64)
+        sign[who, bin_] = mix(least[who, source % _BINS].astype(np.uint64) + ((source - bin_) << 33).view(np.uint64))
         out = np.zeros((n, BANDS), np.uint64)
         for b in range(BANDS):
             part = np.full(n, b + 1, np.uint64)
@@ -114,7 +123,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, line, key of every line with a word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", _BLOCK):
             found = Lines(block.column("text"))
             yield pa.record_batch(
                 [block.column("doc_id").take(pa.array(found.row)), pa.array(found.number.astype(np.int32)), found.keys()],
@@ -125,34 +134,63 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select(*columns).mapInArrow(work, "doc_id long, line int, key binary")
 
 
-def _distinct(docs: pa.Table) -> Iterator[tuple[Lines, np.ndarray]]:
-    """Blocks of lines, with the indexes of those not seen before in the unit."""
+def _blocks(docs: pa.Table) -> Iterator[pa.Array]:
+    for block in blocks(docs.combine_chunks().to_batches(), "text", _BLOCK):
+        yield block.column("text")
+
+
+class Signed(NamedTuple):
+    """Band hashes of a unit's distinct lines, sorted, with the line of each; lines are numbered
+    by first sight, and have a key and a stretch of the code points of a block."""
+
+    bands: np.ndarray
+    line: np.ndarray
+    key: np.ndarray
+    block: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def _signed(docs: pa.Table) -> Signed:
     seen: set[int] = set()
-    for block in blocks(docs.combine_chunks().to_batches(), "text"):
-        found = Lines(block.column("text"))
+    bands, none = [np.zeros((0, BANDS), np.uint64)], np.zeros(0, np.int64)
+    places = [(none.view(np.uint64), none, none, none)]
+    for block, column in enumerate(_blocks(docs)):
+        found = Lines(column)
         _, first = np.unique(found.key, return_index=True)
         new = np.array([i for i in np.sort(first).tolist() if int(found.key[i]) not in seen], np.int64)
         seen.update(found.key[new].tolist())
-        yield found, new
-
-
-def _signed(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band hashes and line numbers (in order of first sight) of a unit, sorted by hash; the
-    low bits of each line's key."""
-    bands, keys = [np.zeros((0, BANDS), np.uint64)], [np.zeros(0, np.uint64)]
-    for found, new in _distinct(docs):
-        bands.append(found.bands()[new])
-        keys.append(found.key[new])
+        bands.append(found.bands(new))
+        places.append((found.key[new], np.full(len(new), block), found.starts[new], found.ends[new]))
     bands = np.concatenate(bands)
     line = np.repeat(np.arange(len(bands)), BANDS)
     order = np.argsort(bands.ravel(), kind="stable")
-    return bands.ravel()[order], line[order], np.concatenate(keys).astype(np.uint32)
+    return Signed(bands.ravel()[order], line[order], *(np.concatenate(p) for p in zip(*places, strict=True)))
+
+
+def _texts(docs: pa.Table, signed: Signed, wanted: np.ndarray) -> tuple[list[bytes], list[str]]:
+    """Keys and texts of the wanted lines; only blocks that hold one are looked at again."""
+    keys, texts = [], []
+    edges = np.searchsorted(signed.block[wanted], np.arange(int(signed.block[wanted[-1]]) + 2 if len(wanted) else 1))
+    for block, column in enumerate(_blocks(docs)):
+        if block + 1 >= len(edges):
+            break
+        own = wanted[edges[block] : edges[block + 1]]
+        if not len(own):
+            continue
+        points, _ = code_points(column)
+        lines = [points[i:j] for i, j in zip(signed.starts[own].tolist(), signed.ends[own].tolist(), strict=True)]
+        ends = np.cumsum([len(p) for p in lines])
+        check = Rolling(np.concatenate(lines), 1).span(np.append(0, ends[:-1]), ends)
+        keys += [k.to_bytes(8, "big") + c.to_bytes(8, "big") for k, c in zip(signed.key[own].tolist(), check.tolist(), strict=True)]
+        texts += [p.tobytes().decode("utf-32-le") for p in lines]
+    return keys, texts
 
 
 def _ask(docs: pa.Table, replies: Replies) -> Ask:
-    bands, line, short = _signed(docs)
-    low = np.ascontiguousarray(bands).view(np.uint8).reshape(-1, 8)[:, :5].copy().view("V5").ravel()
-    return Ask(bands, [low, short[line]])
+    signed = _signed(docs)
+    low = np.ascontiguousarray(signed.bands).view(np.uint8).reshape(-1, 8)[:, :5].copy().view("V5").ravel()
+    return Ask(signed.bands, [low, signed.key.astype(np.uint32)[signed.line]])
 
 
 def _answer(parts: list[Ask]) -> list[np.ndarray]:
@@ -176,19 +214,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     units.ask(_ask, ["V5", np.uint32], _answer)
 
     def work(docs: pa.Table, replies: Replies) -> pa.Table:
-        bands, line, _ = _signed(docs)
+        signed = _signed(docs)
         yes = np.flatnonzero(replies[0]) if 0 in replies else np.zeros(0, np.int64)
-        order = yes[np.argsort(line[yes], kind="stable")]
-        wanted, first = np.unique(line[order], return_index=True)
-        shared = np.split(bands[order].view(np.int64), first[1:]) if len(wanted) else []
-        keys, texts, at, place = [], [], 0, 0
-        for found, new in _distinct(docs):
-            while place < len(wanted) and wanted[place] < at + len(new):
-                i = int(new[wanted[place] - at])
-                keys.append(int(found.key[i]).to_bytes(8, "big") + int(found.check[i]).to_bytes(8, "big"))
-                texts.append(found.text(i))
-                place += 1
-            at += len(new)
+        order = yes[np.argsort(signed.line[yes], kind="stable")]
+        wanted, first = np.unique(signed.line[order], return_index=True)
+        shared = np.split(signed.bands[order].view(np.int64), first[1:]) if len(wanted) else []
+        keys, texts = _texts(docs, signed, wanted)
         return pa.table({"key": pa.array(keys, pa.binary()), "text": pa.array(texts, pa.string()), "bands": pa.array([s.tolist() for s in shared], pa.list_(pa.int64()))})
 
     return units.run(work, "key binary, text string, bands array<long>")
@@ -200,10 +231,8 @@ def similar_pairs(texts: pa.Array, group: np.ndarray, similarity: float = SIMILA
     Groups of two are compared all at once. In a larger one, of bounded size, the shared
     shingles of all pairs are counted by a product of its 0/1 matrix with itself.
     """
-    data, offsets = flat(texts)
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    cuts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    hashes, row = shingle_hashes(points, cuts[:-1], cuts[1:])
+    points, cuts = code_points(texts)
+    hashes, row = shingle_hashes(Rolling(points), cuts[:-1], cuts[1:])
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.append(first, len(group)))
     order = np.repeat(np.arange(len(first)), size)
