@@ -273,3 +273,31 @@ def test_the_history_of_scores_is_read_once_for_all_rounds(spark, monkeypatch):
     out = optimise.evaluate_and_decide(runs, evaluate, history, deployments)
     assert [(r["outcome"], r["rounds"]) for r in out.runs.collect()] == [("deployed", 2)]
     assert len(calls) == 1
+
+
+def test_a_batch_of_files_is_chosen_once_and_leaves_no_tables(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from tidewell.catalog.jobs import document_files, files_per_batch
+    from tidewell.plans import ingest
+    from tidewell.plans.store import KeyedStore
+    from tidewell.session import ensure_checkpoint_dir
+    from tidewell.streaming.jobs import ingest_stream
+
+    # The number of batches does not follow that of the files, up to four files a core.
+    assert [-(-n // files_per_batch(n, 6)) for n in (8, 13, 128, 768)] == [8, 7, 8, 32]
+    docs = spark.createDataFrame([(i % 12, f"text {i % 12}", "en", "s") for i in range(13)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "in"))
+    shown = []
+    whole = ingest.ingest
+    monkeypatch.setattr(ingest, "ingest", lambda files, **o: shown.append(files._jdf.queryExecution().analyzed().toString()) or whole(files, **o))
+    ensure_checkpoint_dir(spark)
+    kept = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(kept.iterdir())
+    store = KeyedStore(spark, str(tmp_path / "c"), whole(document_files(docs.limit(0)), dim=8).chunks.schema)
+    between = set(kept.iterdir())
+    stream = document_files(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")))
+    ingest_stream(stream, store, str(tmp_path / "ckpt"), summary_path=str(tmp_path / "s"), dim=8).awaitTermination()
+    assert len(between) > len(before) and set(kept.iterdir()) == between
+    assert shown and not any("Aggregate" in plan for plan in shown)
+    assert store.read().count() == 10 and spark.read.parquet(str(tmp_path / "s")).count() == 12

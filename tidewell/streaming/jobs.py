@@ -17,6 +17,7 @@ from tidewell.operators.filters import due_connectors
 from tidewell.operators.ranking import latest_per_key
 from tidewell.plans.ingest import ingest_to_store
 from tidewell.plans.store import KeyedStore
+from tidewell.session import materialise, passing_tables
 
 POLL_SECONDS = 300
 SCAN_MINUTES = 60
@@ -44,6 +45,8 @@ def ingest_stream(
     files: a stream with the columns `ingest` takes, e.g. `stream_files` joined to the
     document table. Of several deliveries in one batch the last by `modified` counts; where
     there is no such column, one chosen by the hash of its bytes, so a replay chooses alike.
+    The chosen files are written once, as ingest reads them several times; what a batch writes
+    on the way is deleted behind it.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -51,9 +54,10 @@ def ingest_stream(
             one = latest_per_key(batch, "document_id", "modified", "modified")
         else:
             one = latest_per_key(batch.withColumn("_h", F.xxhash64("bytes")), "document_id", "_h", "_h").drop("_h")
-        result = ingest_to_store(one, store, **options)
-        if summary_path:
-            result.summary.write.mode("overwrite").parquet(f"{summary_path}/batch={number}")
+        with passing_tables(batch.sparkSession):
+            result = ingest_to_store(materialise(one), store, **options)
+            if summary_path:
+                result.summary.write.mode("overwrite").parquet(f"{summary_path}/batch={number}")
 
     return _start(files, run, checkpoint, every)
 
