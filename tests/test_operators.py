@@ -410,3 +410,32 @@ def test_short_lists_are_numbered_without_totals_of_buckets(spark):
     with_null = merged.where("query_id IS NULL").orderBy("pos").collect()
     assert [r["chunk_id"] for r in with_null] == ["d", "b", "c", "a", "dx", "bx", "cx"]
     assert merged.orderBy(*order).collect() == cut.orderBy(*order).collect()
+
+
+def test_positions_are_gathered_text_by_text(spark):
+    from collections import Counter
+
+    from tidewell.operators.postings import build_postings
+
+    long = " ".join(["a b"] * 300 + ["c"] * 16000 + ["a c"])
+    texts = [(1, 7, "the A-b a"), (2, 7, None), (3, None, ""), (4, None, "x the x"), (5, 7, long), (5, 7, "c z"), (None, 1, "n n"), (None, 1, "n n")]
+    chunks = spark.createDataFrame(texts, "chunk_id long, pipeline_id int, content string")
+    for limits in (False, True):
+        want, tf, sizes = {}, Counter(), {}
+        for c, p, text in texts:
+            found = (text or "").lower().replace("-", " ").split()
+            for i, t in enumerate(found, 1):
+                if t != "the":
+                    want.setdefault((c, p, t), set()).add(min(i, 16383) if limits else i)
+                    tf[c, p, t] += 1
+                    sizes.setdefault((c, p, t), set()).add(len(found))
+        for repeats in (True, False):
+            some = chunks if repeats else chunks.where("chunk_id <= 4")
+            built = build_postings(some, keep=["pipeline_id"], stop_words=["the"], positions=True, pg_limits=limits)
+            got = {(r["chunk_id"], r["pipeline_id"], r["term"]): r for r in built.collect()}
+            assert len(got) == built.count() and set(got) == {k for k in want if repeats or (k[0] or 9) <= 4}
+            for k, r in got.items():
+                assert r["positions"] == sorted(want[k])[: 256 if limits else None] and r["tf"] == tf[k] and r["n_terms"] in sizes[k]
+            # No row is made per occurrence of a term, and nothing is put together where no chunk comes twice.
+            plan = built._jdf.queryExecution().optimizedPlan().toString()
+            assert "Generate" not in plan and ("Aggregate" in plan) == repeats
