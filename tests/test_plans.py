@@ -301,3 +301,24 @@ def test_a_batch_of_files_is_chosen_once_and_leaves_no_tables(spark, tmp_path, m
     assert len(between) > len(before) and set(kept.iterdir()) == between
     assert shown and not any("Aggregate" in plan for plan in shown)
     assert store.read().count() == 10 and spark.read.parquet(str(tmp_path / "s")).count() == 12
+
+
+def test_an_expanded_search_is_made_once_per_list(spark, corpus, monkeypatch):
+    queries = spark.createDataFrame([(1, "p", "none", [1.0, 0.0], 3), (2, "p", "word1", [0.0, 1.0], 3)], QUERY)
+    expansions = spark.createDataFrame([(1, 0, "word2", [0.0, 1.0])], "query_id int, pos int, q string, q_embedding array<double>")
+    passages = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "query_id int, passage_embedding array<double>")
+    searched = []
+    whole = search.fusion.hybrid_search
+    monkeypatch.setattr(search.fusion, "hybrid_search", lambda asked, *a, **o: searched.append((asked, whole(asked, *a, **o))) or searched[-1][1])
+    merged = []
+    join = search.fusion.hyde_merge
+    monkeypatch.setattr(search.fusion, "hyde_merge", lambda top, extra: merged.append((top, extra)) or join(top, extra))
+    found = search.search_batch(queries, corpus, expansions=expansions, passages=passages, method="hybrid_hyde")
+    assert {(r["query_id"], r["rank"]) for r in found.hits.collect()} == {(q, n) for q in (1, 2) for n in range(1, 6)}
+
+    def operators(df):
+        return [n for n in df._jdf.queryExecution().optimizedPlan().toString().split() if n in ("Join", "Aggregate", "Window", "MapInArrow")]
+
+    # What is searched, and both lists that are merged, are read from written tables.
+    assert len(searched) == 2 and not any(operators(asked) for asked, _ in searched)
+    assert len(merged) == 1 and not any(operators(x) for x in merged[0])
