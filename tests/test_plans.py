@@ -322,3 +322,17 @@ def test_an_expanded_search_is_made_once_per_list(spark, corpus, monkeypatch):
     # What is searched, and both lists that are merged, are read from written tables.
     assert len(searched) == 2 and not any(operators(asked) for asked, _ in searched)
     assert len(merged) == 1 and not any(operators(x) for x in merged[0])
+
+
+def test_contexts_normalise_a_text_once_however_often_it_is_hit(spark, corpus):
+    tops = [(q, c, 0.1, 0.0, r) for q in range(20) for r, c in enumerate(("a0", "b1"), 1)]
+    top = spark.createDataFrame(tops, "query_id int, chunk_id string, rrf_score double, score double, new_rank int")
+    plan = search.contexts(top, corpus)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    places = [i for i, line in enumerate(plan) if "regexp_replace" in line]
+    # Below the join that gives each query its texts, and nowhere else.
+    joins = [i for i, line in enumerate(plan) if "Join " in line]
+    assert len(places) == 1 and joins[0] < places[0]
+    for named in (False, True):
+        got = {r["query_id"]: r["context"] for r in search.contexts(top, corpus, named).collect()}
+        file = ("(file: a.txt) ", "(file: b.txt) ") if named else ("", "")
+        assert got == {q: f"[1] {file[0]}a word0\n\n[2] {file[1]}b word1" for q in range(20)}
