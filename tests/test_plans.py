@@ -336,3 +336,23 @@ def test_contexts_normalise_a_text_once_however_often_it_is_hit(spark, corpus):
         got = {r["query_id"]: r["context"] for r in search.contexts(top, corpus, named).collect()}
         file = ("(file: a.txt) ", "(file: b.txt) ") if named else ("", "")
         assert got == {q: f"[1] {file[0]}a word0\n\n[2] {file[1]}b word1" for q in range(20)}
+
+
+def test_an_iterative_search_ends_when_every_query_answers(spark, corpus, monkeypatch):
+    queries = spark.createDataFrame([(1, "p", "word1", [1.0, 0.0], 2), (2, "p", "word2", [0.0, 1.0], 2)], QUERY)
+    search_on = '{"decision": "search", "search_query": "word0"}'
+    searched = []
+    whole = search.retrieve
+    monkeypatch.setattr(search, "retrieve", lambda *a, **o: searched.append(1) or whole(*a, **o))
+    schema = "query_id int, step int, reply string, reply_embedding array<double>"
+    # (replies, searches made, steps of each query)
+    cases = [
+        ([(1, 1, '{"decision": "answer"}', None)], 1, {1: 1, 2: 1}),
+        ([(1, 1, search_on, [0.0, 1.0])], 2, {1: 2, 2: 1}),
+        ([(1, 1, search_on, [0.0, 1.0]), (1, 2, search_on, [0.7, 0.7])], 3, {1: 2, 2: 1}),
+    ]
+    for replies, times, steps in cases:
+        searched.clear()
+        out = search.iterative_search(queries, corpus, spark.createDataFrame(replies, schema)).collect()
+        assert len(searched) == times and {r["query_id"]: r["steps"] for r in out} == steps
+        assert sorted((r["query_id"], r["new_rank"]) for r in out) == [(1, 1), (1, 2), (2, 1), (2, 2)]
